@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import language, packing, token_counts
+from foliolens.llm import doc_fingerprints, language, near_dedup, packing, token_counts
 from foliolens.llm.common import crc32_mod, documents
 
 
@@ -27,8 +27,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+def op10_doc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_fingerprints.fingerprint_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_packing, op9_simhash_near_dedup, op10_doc_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
