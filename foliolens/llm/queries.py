@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import doc_fingerprints, language, near_dedup, packing, token_counts
+from foliolens.llm import doc_fingerprints, language, near_dedup, packing, pii, quality, token_counts
 from foliolens.llm.common import crc32_mod, documents
 
 
@@ -27,6 +27,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc32_mod("doc_id", 5) == 0
+    network = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    return quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), network)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -35,8 +46,13 @@ def op10_doc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_fingerprints.fingerprint_report(documents(spark, sf_dir))
 
 
+FUNCTIONS = (
+    op1_token_counts, op2_language_id, op4_packing, op6_pii, op7_quality, op9_simhash_near_dedup, op10_doc_fingerprints,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_packing, op9_simhash_near_dedup, op10_doc_fingerprints)}
+    return {f.__name__: f for f in FUNCTIONS}
 
 
 def oracle_sql() -> dict[str, str]:
