@@ -39,6 +39,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """df marked for a broadcast if it has at most so many rows, else as it is, for a shuffled join. df should be cheap to count."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def crc32_mod(column: str, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo. A null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import doc_fingerprints, language, near_dedup, packing, pii, quality, token_counts
+from foliolens.llm import doc_fingerprints, language, mixing, near_dedup, packing, pii, quality, token_counts
 from foliolens.llm.common import crc32_mod, documents
 
 
@@ -27,6 +27,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "pass", "block", "n_tokens", F.round("weight", 9).alias("weight"), "position")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_doc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FUNCTIONS = (
-    op1_token_counts, op2_language_id, op4_packing, op6_pii, op7_quality, op9_simhash_near_dedup, op10_doc_fingerprints,
+    op1_token_counts, op2_language_id, op4_packing, op5_mixing, op6_pii, op7_quality, op9_simhash_near_dedup, op10_doc_fingerprints,
 )
 
 
