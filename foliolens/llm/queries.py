@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import doc_fingerprints, language, mixing, near_dedup, packing, pii, quality, token_counts
+from foliolens.llm import doc_fingerprints, language, mixing, near_dedup, packing, pii, quality, token_counts, topk
 from foliolens.llm.common import crc32_mod, documents
 
 
@@ -23,6 +23,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,8 +54,21 @@ def op10_doc_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_fingerprints.fingerprint_report(documents(spark, sf_dir))
 
 
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+"""
+
+
 FUNCTIONS = (
-    op1_token_counts, op2_language_id, op4_packing, op5_mixing, op6_pii, op7_quality, op9_simhash_near_dedup, op10_doc_fingerprints,
+    op1_token_counts, op2_language_id, op3_exact_topk, op4_packing, op5_mixing, op6_pii, op7_quality, op9_simhash_near_dedup, op10_doc_fingerprints,
 )
 
 
@@ -60,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_topk": OP3_SQL}
