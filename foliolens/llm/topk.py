@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_ROWS, CANDIDATE_ROWS = 2048, 8192
-DEPTHS = (0.15, 0.4)  #: shares of each list after which the bounds are compared
+DEPTHS = (0.8, 0.9)  #: shares of each list after which the bounds are compared
 LARGEST = 1 << 24
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -51,74 +51,68 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
 
 class SortedLists:
     """For each component the candidates in descending order of value, and in ascending order with values negated:
-    2 * width lists of which each is read from its start."""
-
-    def __init__(self, x: np.ndarray, kind: type):
-        own = np.concatenate([x.T, -x.T])
-        self.order = np.argsort(-own, axis=1, kind="stable")
-        self.values = np.take_along_axis(own, self.order, axis=1).astype(kind)
-        self.seen = np.zeros(own.shape, bool)
-        self.read = np.zeros(own.shape, kind)  #: values by candidate, as far as read
-        self.at = 0
-
-    def read_to(self, at: int) -> None:
-        places = self.order[:, self.at : at]
-        np.put_along_axis(self.seen, places, True, axis=1)
-        np.put_along_axis(self.read, places, self.values[:, self.at : at], axis=1)
-        self.at = at
-
-    def bounds(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the scores, queries by candidates."""
-        reached, last = self.values[:, self.at - 1, None], self.values[:, -1, None]
-        return weights @ np.where(self.seen, self.read, last), weights @ np.where(self.seen, self.read, reached)
+    2 * width lists of which each is read from its start. ``stops`` holds, for each depth in turn, how far every list is
+    read and the matrices from which bounds are made: values read so far, filled up with the ends of the lists (lower)
+    or with the values they have come to (upper)."""
+
+    def __init__(self, x: np.ndarray, kind: type, k: int):
+        own = np.concatenate([x.T, -x.T]).astype(kind)
+        n = own.shape[1]
+        self.stops: list[tuple[int, np.ndarray, np.ndarray]] = []
+        order = np.argsort(-own, axis=1)
+        last = np.take_along_axis(own, order[:, -1:], axis=1)
+        seen, at = np.zeros(own.shape, bool), 0
+        for depth in (*DEPTHS, 1.0):
+            to = min(n, max(k + 1, int(depth * n)))
+            if to > at:
+                np.put_along_axis(seen, order[:, at:to], True, axis=1)
+                reached = np.take_along_axis(own, order[:, to - 1 : to], axis=1)
+                self.stops.append((to, np.where(seen, own, last), np.where(seen, own, reached)))
+                at = to
 
 
 def _kth(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(lists: SortedLists, queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query position, candidate position and score of each query's k best candidates with another id (all, if fewer)."""
-    most = float(np.abs(queries).sum(axis=1).max() * np.abs(x).max()) if len(x) and len(queries) else 0.0
-    kind = np.float32 if most < 1 << 24 else np.float64
-    exact = most < 1 << 53
-    weights = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1).astype(kind)
-    lists, n = SortedLists(x, kind), len(x)
+    n = len(x)
+    weights = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1).astype(lists.stops[0][1].dtype)
     open_rows = np.arange(len(queries))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for depth in (*DEPTHS, 1.0):
-        at = min(n, max(k, int(depth * n)))
-        lists.read_to(at)
-        low, high = lists.bounds(weights[open_rows])
+    for at, lower, upper in lists.stops:
+        high = weights[open_rows] @ upper
+        low = weights[open_rows] @ lower if at < n else high.copy()
         if not exact:
-            low, high = np.nextafter(low, -np.inf) - abs(low) * 1e-12, np.nextafter(high, np.inf) + abs(high) * 1e-12
-        own = query_ids[open_rows, None] == ids[None, :]
-        low[own], high[own] = -np.inf, -np.inf
-        floor = _kth(low, min(k, n))
-        able = high >= floor[:, None]
-        able &= ~own
-        few = able.sum(axis=1)
-        # A query is done when so few can qualify that resolving them is less than reading on; at the end every list is read.
-        done = (few <= max(4 * k, n // 64)) | (at == n)
+            low, high = low - np.abs(low) * 1e-9, high + np.abs(high) * 1e-9
+        own_row, own_column = np.nonzero(query_ids[open_rows, None] == ids[None, :])
+        low[own_row, own_column], high[own_row, own_column] = -np.inf, -np.inf
+        able = high >= np.maximum(_kth(low, min(k, n)), np.finfo(low.dtype).min)[:, None]
+        # A query is done when so few can qualify that resolving them costs less than reading on; at the end all lists are read.
+        done = (able.sum(axis=1) <= max(4 * k, n // 64)) | (at == n)
         for i in np.nonzero(done)[0]:
             c = np.nonzero(able[i])[0]
-            q = queries[open_rows[i]]
-            if at == n and exact:
-                s = high[i, c].astype(np.int64)
-            elif exact:
-                s = np.rint(x[c] @ q).astype(np.int64)
-            else:
-                s = x[c].astype(np.int64) @ q.astype(np.int64)
+            s = high[i, c].astype(np.int64) if at == n and exact else x[c].astype(np.int64) @ queries[open_rows[i]].astype(np.int64)
             best = np.lexsort((ids[c], -s))[:k]
             out.append((np.full(len(best), open_rows[i]), c[best], s[best]))
         open_rows = open_rows[~done]
         if not len(open_rows):
             break
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(p) for p in zip(*out, strict=True))
 
 
+def search_block(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``search`` for all queries, some at a time; the lists are sorted once. Products are exact in the type chosen, or widened."""
+    most = float(np.abs(queries).sum(axis=1).max() * np.abs(x).max())
+    lists = SortedLists(x, np.float32 if most < 1 << 24 else np.float64, k)
+    parts = []
+    for at in range(0, len(queries), rows):
+        q, c, s = search(lists, queries[at : at + rows], query_ids[at : at + rows], x, ids, k, most < 1 << 53)
+        parts.append((q + at, c, s))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of every query row of vectors(vec_id, embedding)."""
     rows = integers(vectors, scale)
@@ -139,11 +133,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, qu
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         width = max(a["v"].map(len).max(), b["v"].map(len).max())
         ids, asked_ids = b["vec_id"].to_numpy(), a["vec_id"].to_numpy()
-        x, parts = _matrix(b["v"], width), []
-        for at in range(0, len(a), 512):
-            q, c, s = search(_matrix(a["v"].iloc[at : at + 512], width), asked_ids[at : at + 512], x, ids, k)
-            parts.append(pd.DataFrame({"query_id": asked_ids[at : at + 512][q], "vec_id": ids[c], "score": s}))
-        return pd.concat(parts)
+        q, c, s = search_block(_matrix(a["v"], width), asked_ids, _matrix(b["v"], width), ids, k)
+        return pd.DataFrame({"query_id": asked_ids[q], "vec_id": ids[c], "score": s})
 
     found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(best, SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
