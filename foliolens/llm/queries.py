@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import doc_fingerprints, language, mixing, near_dedup, packing, pii, quality, token_counts, topk
+from foliolens.llm import doc_fingerprints, language, mixing, near_dedup, packing, pii, quality, suffix_dedup, token_counts, topk
 from foliolens.llm.common import crc32_mod, documents
 
 
@@ -46,6 +46,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), network)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -68,7 +73,7 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_numb
 
 
 FUNCTIONS = (
-    op1_token_counts, op2_language_id, op3_exact_topk, op4_packing, op5_mixing, op6_pii, op7_quality, op9_simhash_near_dedup, op10_doc_fingerprints,
+    op1_token_counts, op2_language_id, op3_exact_topk, op4_packing, op5_mixing, op6_pii, op7_quality, op8_suffix_dedup, op9_simhash_near_dedup, op10_doc_fingerprints,
 )
 
 
