@@ -25,17 +25,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and written to the reliable checkpoint folder; the lineage is cut.
-
-    The folder is the cluster's (spark.checkpoint.dir). Only where none is named, as in tests, one is made here.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names (spark.checkpoint.dir). Only where none is named, as in tests on one
+    machine, a temporary one is made."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not (sc.master or "").startswith("local"):
+        if named is None and not (sc.master or "").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliolens-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed and written to the shared checkpoint folder; the lineage is cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -85,3 +85,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     fps = checkpointed(fingerprints(docs, words))
     of_class = checkpointed(components(fps, radius))
     return fps.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that stay when of each component only one row is kept: the one of the smallest
+    doc_id, and of rows with that doc_id the one of the smallest hash. Rows without a doc_id stay only in components without ids."""
+    fps = checkpointed(fingerprints(docs, words))
+    of_class = checkpointed(components(fps, radius))
+    # Only the first row of a class can be kept, so ids are compared by class before anything is joined to texts.
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of_class, "fp")
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    kept = first.where(F.col("least").eqNullSafe(F.col("component_id"))).select(F.coalesce("least", F.lit(-(1 << 63))).alias("_id")).distinct()
+    rows = docs.withColumn("_id", number).join(checkpointed(kept), "_id")
+    in_order = Window.partitionBy("_id").orderBy(F.xxhash64("text"), "text")
+    return rows.withColumn("_n", F.row_number().over(in_order)).where("_n = 1").drop("_n", "_id")
