@@ -122,9 +122,8 @@ def fit(docs: DataFrame, learn: Column, sample_per_lang: int = SAMPLE_PER_LANG)
     return LanguageModel(langs, *({e: c for k, e, c in zip(kinds, entries, numbers, strict=True) if k == kind} for kind in (0, 1)))
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with the added columns lang_pred and score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def _predictor(docs: DataFrame, model: LanguageModel) -> Column:
+    held = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size, whatever the corpus
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
@@ -132,4 +131,17 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         own = held.value
         return pa.array([dict(zip(("lang_pred", "score"), own.predict(t), strict=True)) for t in texts(text)], kind)
 
-    return docs.withColumn("_predicted", predicted("text")).select(*docs.columns, "_predicted.lang_pred", "_predicted.score")
+    return predicted("text")
+
+
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """docs with the columns lang_pred and score, which replace columns of these names."""
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*rest, _predictor(docs, model).alias("predicted ")).select(*rest, "`predicted `.lang_pred", "`predicted `.score")
+
+
+def identified(docs: DataFrame, model: LanguageModel, least_score: float) -> DataFrame:
+    """The rows of docs whose language is found with at least this score, all columns as they are."""
+    p = F.col("predicted ")
+    rows = docs.select(F.struct("*").alias("row"), _predictor(docs, model).alias("predicted "))
+    return rows.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least_score)).select("row.*")

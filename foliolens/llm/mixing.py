@@ -82,11 +82,9 @@ def exponent(sources: DataFrame, max_repeats: float = MAX_REPEATS, min_entropy:
     return max(least, wanted)
 
 
-def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, min_entropy: float | None = None, budget: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = 5) -> DataFrame:
-    """The rows of docs(doc_id, text, source, ...), each as often as the mixture takes it, with the added columns
-    n_tokens, weight (of the source), pass (from 0), block and position (the share of the source's budget that is
-    used up before the row's block: ordering by it interleaves the sources by weight)."""
-    docs = docs.withColumn("n_tokens", word_tokens(F.col("text"))).withColumn("_key", _hash(seed, "doc_id", "text"))
+def _mixture(docs: DataFrame, max_repeats: float, min_entropy: float | None, budget: int | None, block_docs: int, seed: int) -> DataFrame:
+    """row (a struct of the columns of docs), n_tokens, weight, pass, block, position."""
+    docs = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), word_tokens(F.col("text")).alias("n_tokens"), _hash(seed, "doc_id", "text").alias("_key"))
     counts = checkpointed(docs.groupBy("source").agg(F.count("*").alias("_docs"), F.sum("n_tokens").alias("tokens")))
     a = exponent(counts, max_repeats, min_entropy)
     log = F.log(F.col("tokens").cast("double"))
@@ -104,17 +102,32 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, min_entropy: float |
     blocks = dealt.groupBy("source", "block", "tokens", "_passes", "_whole").agg(F.sum("n_tokens").alias("_block_tokens"))
     in_order = Window.partitionBy("source").orderBy(_hash(seed + 1, "source", "block", "_whole"), "block")
     before = F.coalesce(F.sum("_block_tokens").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = F.round((F.col("_passes") - F.col("_whole")) * F.col("tokens")).cast("long") - before
+    room = F.floor((F.col("_passes") - F.col("_whole")) * F.col("tokens") + 1e-6) - before
     blocks = checkpointed(blocks.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "_block_tokens", room.alias("_room")))
     placed = dealt.join(broadcast_if_small(blocks), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
 
     # A block is taken, left, or, where the budget ends within it, cut between documents.
     cut = (F.col("_room") > 0) & (F.col("_room") < F.col("_block_tokens"))
     keep = placed.where(~cut).withColumn("_more", (F.col("_room") >= F.col("_block_tokens")).cast("int"))
-    used = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    used = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("_key", "row.doc_id").rowsBetween(Window.unboundedPreceding, 0))
     partial = placed.where(cut).withColumn("_more", (used <= F.col("_room")).cast("int"))
     rows = keep.unionByName(partial).withColumn("_times", (F.col("_whole") + F.col("_more")).cast("int")).where("_times > 0")
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
     spot = (F.col("pass") + _hash(seed + 2, "source", "block", "pass") / F.lit(float(SPAN))) / F.greatest("_passes", F.lit(1e-9))
-    rows = rows.withColumn("position", F.round(spot, 9))
-    return rows.drop("tokens", *[c for c in rows.columns if c.startswith("_")])
+    return rows.select("row", "n_tokens", "weight", "pass", "block", F.round(spot, 9).alias("position"))
+
+
+ADDED = ("n_tokens", "weight", "pass", "block", "position")
+
+
+def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, min_entropy: float | None = None, budget: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = 5) -> DataFrame:
+    """The rows of docs(doc_id, text, source, ...), each as often as the mixture takes it, with the columns n_tokens, weight
+    (of the source), pass (from 0), block and position (the share of the source's budget that is used up before the row's
+    block: ordering by it interleaves the sources by weight). These replace columns of docs with their names."""
+    rows = _mixture(docs, max_repeats, min_entropy, budget, block_docs, seed)
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED], *ADDED)
+
+
+def repeated(docs: DataFrame, max_repeats: float = MAX_REPEATS, min_entropy: float | None = None, budget: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = 5) -> DataFrame:
+    """As ``mix``, with the columns of docs only."""
+    return _mixture(docs, max_repeats, min_entropy, budget, block_docs, seed).select("row.*")

@@ -94,8 +94,8 @@ def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     of_class = checkpointed(components(fps, radius))
     # Only the first row of a class can be kept, so ids are compared by class before anything is joined to texts.
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of_class, "fp")
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    kept = first.where(F.col("least").eqNullSafe(F.col("component_id"))).select(F.coalesce("least", F.lit(-(1 << 63))).alias("_id")).distinct()
-    rows = docs.withColumn("_id", number).join(checkpointed(kept), "_id")
-    in_order = Window.partitionBy("_id").orderBy(F.xxhash64("text"), "text")
-    return rows.withColumn("_n", F.row_number().over(in_order)).where("_n = 1").drop("_n", "_id")
+    lowest = F.lit(-(1 << 63))  # stands for no id
+    kept = first.where(F.col("least").eqNullSafe(F.col("component_id"))).select(F.coalesce("least", lowest).alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), lowest).alias("id")).join(checkpointed(kept), "id")
+    in_order = Window.partitionBy("id").orderBy(F.xxhash64("row.text"), "row.text")
+    return rows.withColumn("number", F.row_number().over(in_order)).where("number = 1").select("row.*")

@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE)
 
 
 def score(docs: DataFrame, network: PuNetwork | None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without text, with score (0 to 1) and predicted (1 if score >= threshold)."""
+    """docs without text, with score (0 to 1) and predicted (1 if score >= threshold), which replace columns of these names."""
     held = docs.sparkSession.sparkContext.broadcast(network)
 
     @F.arrow_udf("double")
@@ -157,5 +157,5 @@ def score(docs: DataFrame, network: PuNetwork | None, threshold: float = THRESHO
             return pa.array([0.5] * len(text), pa.float64())
         return pa.array(held.value.probability(np.array([statistics(t) for t in texts(text)])), pa.float64())
 
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "score", "predicted")]
     return docs.select(*rest, scored("text").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
