@@ -77,8 +77,9 @@ class Run:
     """The anchors of the documents of a run: arrays first and last (window starts), at (anchor), hash, doc (index)."""
 
     def __init__(self, table: pa.Table):
-        self.ids = table.column("doc_id").to_pylist()
-        self.texts = [t or b"" for t in table.column("text").to_pylist()]
+        # A shuffle brings the rows of a run in any order; every step has to see the same one.
+        rows = sorted(zip(table.column("doc_id").to_pylist(), (t or b"" for t in table.column("text").to_pylist()), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        self.ids, self.texts = [d for d, _ in rows], [t for _, t in rows]
         own = {d: i for i, d in enumerate(sorted({d for d in self.ids if d is not None}))}
         parts, base, at = [], 0, 0
         self.starts: list[int] = []
