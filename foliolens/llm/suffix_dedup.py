@@ -18,7 +18,8 @@ prefix doubling:
 An anchor that occurs in more than ``HOT_DOCS`` documents may have as many contexts; its windows are exchanged one by one,
 dealt out by their own content, so no owner gets all of a very frequent line. Repeats within a run cost one suffix.
 
-Texts are shuffled once, by run, and that exchange is used by all three steps; nothing is broadcast or collected.
+The places of a run's suffixes travel with them, so step 3 needs no anchors. Texts are shuffled once, by run, and that
+exchange is used by all three steps; nothing is broadcast or collected.
 
 Defined results: a null text is empty; texts under 50 bytes are kept; rows of equal doc_id neither remove from each
 other nor count as smaller; a row with a null doc_id is kept whole and removes nothing; an empty table gives an empty
@@ -43,7 +44,7 @@ REACH = WINDOW - ANCHOR + 1  #: places of the anchor in a window
 RUN_BYTES = 4 << 20
 MAX_OWNERS = 512
 HOT_DOCS = 256
-CHUNK = 1 << 20  #: bytes whose hashes are held at a time
+CHUNK = 1 << 17  #: bytes whose hashes are held at a time, so that they stay in the cache
 CUT = b"\xff"  #: between the two parts of a suffix; no byte of UTF-8
 ROWS = "run int, owner int, kind int, body binary"
 RESULT = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
@@ -73,20 +74,31 @@ def _anchors(buf: np.ndarray) -> np.ndarray:
     return m
 
 
-class Run:
-    """The anchors of the documents of a run: arrays first and last (window starts), at (anchor), hash, doc (index)."""
+def _spread(h: np.ndarray) -> np.ndarray:
+    """48-bit hashes one to one onto others: the smallest of a window are small, and owners have even shares of the range."""
+    mask = np.uint64((1 << 48) - 1)
+    h = (h * np.uint64(0x9E3779B97F4B)) & mask
+    return ((h ^ (h >> np.uint64(23))) * np.uint64(0xC2B2AE3D27D5)) & mask
+
+
+class Texts:
+    """The documents of a run in order, and their bytes one behind the other."""
 
     def __init__(self, table: pa.Table):
         # A shuffle brings the rows of a run in any order; every step has to see the same one.
         rows = sorted(zip(table.column("doc_id").to_pylist(), (t or b"" for t in table.column("text").to_pylist()), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         self.ids, self.texts = [d for d, _ in rows], [t for _, t in rows]
-        own = {d: i for i, d in enumerate(sorted({d for d in self.ids if d is not None}))}
-        parts, base, at = [], 0, 0
-        self.starts: list[int] = []
-        for t in self.texts:
-            self.starts.append(base)
-            base += len(t)
         self.buf = b"".join(self.texts)
+        self.starts = [0, *np.cumsum([len(t) for t in self.texts])[:-1].tolist()]
+
+
+class Run(Texts):
+    """The anchors of the documents of a run: arrays first and last (window starts), at (anchor), hash, doc (index)."""
+
+    def __init__(self, table: pa.Table):
+        super().__init__(table)
+        own = {d: i for i, d in enumerate(sorted({d for d in self.ids if d is not None}))}
+        parts, at = [], 0
         whole = np.frombuffer(self.buf, np.uint8)
         doc = np.repeat(np.arange(len(self.texts)), [max(0, len(t) - WINDOW + 1) if d is not None else 0 for d, t in zip(self.ids, self.texts, strict=True)])
         windows = np.concatenate([np.arange(s, s + max(0, len(t) - WINDOW + 1)) if d is not None else np.empty(0, np.int64) for s, d, t in zip(self.starts, self.ids, self.texts, strict=True)] or [np.empty(0, np.int64)])
@@ -98,12 +110,11 @@ class Run:
             a = p + (m & np.uint64(255)).astype(np.int64)
             edge = np.nonzero((a[1:] != a[:-1]) | (d[1:] != d[:-1]))[0]
             first, last = np.append(0, edge + 1), np.append(edge, len(p) - 1)
-            parts.append((p[first], p[last], a[first], m[first] >> np.uint64(8), d[first]))
+            parts.append((p[first], p[last], a[first], _spread(m[first] >> np.uint64(8)), d[first]))
             at = to
         kinds = (np.int64, np.int64, np.int64, np.uint64, np.int64)
         self.first, self.last, self.at, self.hash, self.doc = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.empty(0, k) for k in kinds)
         self.number = np.array([own.get(d, -1) for d in self.ids], np.int64)
-        self.sorted_ids = list(own)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct anchor hashes, and in how many documents of the run each occurs."""
@@ -117,8 +128,8 @@ class Run:
         at = np.nonzero(new)[0]
         return h[at], np.add.reduceat(other, at) if len(at) else np.empty(0, np.int64)
 
-    def suffixes(self, shared: np.ndarray, flags: np.ndarray, owners: int) -> Iterator[tuple[int, bytes, int, int, int]]:
-        """(owner, suffix, first window, last window, document) of each anchor that occurs in several documents."""
+    def suffixes(self, shared: np.ndarray, flags: np.ndarray, owners: int) -> Iterator[tuple[int, bytes, int, int]]:
+        """(owner, suffix, first window, document) of each anchor that occurs in several documents."""
         if not len(shared):
             return
         place = np.minimum(np.searchsorted(shared, self.hash), len(shared) - 1)
@@ -127,11 +138,11 @@ class Run:
         for i in np.nonzero(flag)[0]:
             s, e, a, d = int(self.first[i]), int(self.last[i]), int(self.at[i]), int(self.doc[i])
             if flag[i] == 1:
-                yield int(self.hash[i]) % owners, buf[a : e + WINDOW] + CUT + buf[s:a], s, e, d
+                yield int(self.hash[i]) % owners, buf[a : e + WINDOW] + CUT + buf[s:a], s, d
             else:
                 for p in range(s, e + 1):
                     w = buf[p : p + WINDOW]
-                    yield zlib.crc32(w) % owners, w, p, p, d
+                    yield zlib.crc32(w) % owners, w, p, d
 
 
 def _owner_of(h: np.ndarray, owners: int) -> np.ndarray:
@@ -199,34 +210,45 @@ def _answer_hashes(hot_docs: int):
     return answer
 
 
-class Exchanged:
-    """A run's suffixes by owner, in order, with the smallest document of each; made alike in steps 2 and 3."""
+def _flags(run: Run, answers: pa.Table, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a run that occur in several documents, with their answers."""
+    h, _ = run.hashes()
+    flags, owner = np.zeros(len(h), np.uint8), _owner_of(h, owners)
+    for o, body in zip(answers.column("owner").to_pylist(), answers.column("body").to_pylist(), strict=True):
+        a, b = np.searchsorted(owner, [o, o + 1])
+        flags[a:b] = _unpack(body, "u1")[0]
+    return h[flags > 0], flags[flags > 0]
 
-    def __init__(self, table: pa.Table, answers: pa.Table, owners: int):
-        self.run = Run(table)
-        h, _ = self.run.hashes()
-        flags = np.zeros(len(h), np.uint8)
-        owner = _owner_of(h, owners)
-        for o, kind, body in zip(*(answers.column(c).to_pylist() for c in ("owner", "kind", "body")), strict=True):
-            if kind == 1:
-                a, b = np.searchsorted(owner, [o, o + 1])
-                flags[a:b] = _unpack(body, "u1")[0]
-        self.places: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
-        for o, suffix, s, e, d in self.run.suffixes(h[flags > 0], flags[flags > 0], owners):
-            self.places.setdefault(o, {}).setdefault(suffix, []).append((s, e, d))
+
+def _framed(*parts: bytes) -> bytes:
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def _parts(body: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(body):
+        n = int.from_bytes(body[at : at + 4], "little")
+        out.append(body[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
 
 
 def _send_suffixes(owners: int):
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows or not answers.num_rows:
             return _rows([])
-        own, number = Exchanged(docs, answers, owners), docs.column("run")[0].as_py()
+        number, run = docs.column("run")[0].as_py(), Run(docs)
+        found: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+        for o, suffix, s, d in run.suffixes(*_flags(run, answers, owners), owners):
+            found.setdefault(o, {}).setdefault(suffix, []).append((s, d))
         out = []
-        for o, found in own.places.items():
-            strings = sorted(found)
-            least = np.array([min(own.run.ids[d] for _, _, d in found[s]) for s in strings], "<i8")
-            run = front_code(strings)
-            out.append((number, o, 2, len(run).to_bytes(4, "little") + run + _pack(least)))
+        for o, own in found.items():
+            strings = sorted(own)
+            least = np.array([min(run.ids[d] for _, d in own[s]) for s in strings], "<i8")
+            places = np.array([p for s in strings for p in own[s]], "<i8").reshape(-1, 2)
+            # Where a run's suffixes stand travels with them and comes back with the answer.
+            at = _pack(np.array([len(own[s]) for s in strings], "<u4"), np.ascontiguousarray(places[:, 0]), places[:, 1].astype("<u4"))
+            out.append((number, o, 2, _framed(front_code(strings), _pack(least), at)))
         return _rows(out)
 
     return send
@@ -242,11 +264,10 @@ def _windows(suffix: bytes) -> list[bytes]:
 def _merge(table: pa.Table) -> pa.Table:
     """Merges the runs of an owner and answers, for each suffix of each run, the smallest document of each window."""
     owner = table.column("owner")[0].as_py()
-    runs, bodies = table.column("run").to_pylist(), table.column("body").to_pylist()
-    order = sorted(range(len(runs)), key=runs.__getitem__)
-    sizes = [int.from_bytes(b[:4], "little") for b in bodies]
-    least = [iter(_unpack(bodies[i][4 + sizes[i] :], "<i8")[0].tolist()) for i in order]
-    tree = LoserTree([front_decode(bodies[i][4 : 4 + sizes[i]]) for i in order])
+    given = sorted(zip(table.column("run").to_pylist(), map(_parts, table.column("body").to_pylist()), strict=True), key=lambda r: r[0])
+    runs = [r for r, _ in given]
+    least = [iter(_unpack(p[1], "<i8")[0].tolist()) for _, p in given]
+    tree = LoserTree([front_decode(p[0]) for _, p in given])
     counts: list[list[int]] = [[] for _ in runs]
     lengths: list[list[int]] = [[] for _ in runs]
     docs: list[list[int]] = [[] for _ in runs]
@@ -293,42 +314,46 @@ def _merge(table: pa.Table) -> pa.Table:
         before = suffix
     if group:
         close()
-    return _rows([(runs[i], owner, 3, _pack(np.array(counts[w], "u1"), np.array(lengths[w], "<u4"), np.array(docs[w], "<i8"))) for w, i in enumerate(order)])
-
-
-def _cut_out(owners: int):
-    def cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        own = Exchanged(docs, answers, owners)
-        run, marks = own.run, np.zeros(len(own.run.buf) + 1, np.int32)
-        for o, kind, body in zip(*(answers.column(c).to_pylist() for c in ("owner", "kind", "body")), strict=True):
-            if kind != 3:
-                continue
-            counts, lengths, least = (x.tolist() for x in _unpack(body, "u1", "<u4", "<i8"))
-            found, at = own.places[o], 0
-            for suffix, n in zip(sorted(found), counts, strict=True):
-                steps = list(zip(lengths[at : at + n], least[at : at + n], strict=True))
-                at += n
-                for s, _, d in found[suffix]:
-                    for size, doc in steps:
-                        if doc < run.ids[d]:
-                            marks[s] += 1
-                            marks[s + size - 1 + WINDOW] -= 1
-                        s += size
-        gone = np.cumsum(marks[:-1]) > 0
-        spans, kept = [], []
-        for start, t in zip(run.starts, run.texts, strict=True):
-            own_gone = gone[start : start + len(t)]
-            if not own_gone.any():
-                spans.append([])
-                kept.append(t)
-                continue
-            edges = np.nonzero(np.diff(np.concatenate([[0], own_gone.view(np.int8), [0]])))[0].tolist()
-            spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
-            kept.append(np.frombuffer(t, np.uint8)[~own_gone].tobytes())
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table([pa.array(run.ids, pa.int64()), pa.array(map(len, run.texts), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
-
-    return cut
+    answers = (_pack(np.array(counts[w], "u1"), np.array(lengths[w], "<u4"), np.array(docs[w], "<i8")) for w in range(len(runs)))
+    return _rows([(run, owner, 3, _framed(answer, p[2])) for (run, p), answer in zip(given, answers, strict=True)])
+
+
+def _mark(marks: np.ndarray, ids: np.ndarray, answer: bytes, places: bytes) -> None:
+    """Marks the ends of the windows that a smaller document has. An answer gives each suffix as stretches of windows with
+    one smallest document; each place of the suffix takes all of its stretches."""
+    stretches, lengths, least = (x.astype(np.int64) for x in _unpack(answer, "u1", "<u4", "<i8"))
+    times, starts, docs = (x.astype(np.int64) for x in _unpack(places, "<u4", "<i8", "<u4"))
+    first = np.cumsum(stretches) - stretches
+    before = np.cumsum(lengths) - lengths
+    before -= np.repeat(before[first], stretches)
+    suffix = np.repeat(np.arange(len(times)), times)
+    each = stretches[suffix]
+    place = np.repeat(np.arange(len(suffix)), each)
+    stretch = np.arange(len(place)) - np.repeat(np.cumsum(each) - each, each) + first[suffix[place]]
+    hit = least[stretch] < ids[docs[place]]
+    start = (starts[place] + before[stretch])[hit]
+    np.add.at(marks, start, 1)
+    np.add.at(marks, start + lengths[stretch][hit] - 1 + WINDOW, -1)
+
+
+def _cut_out(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    run = Texts(docs)
+    marks, ids = np.zeros(len(run.buf) + 1, np.int32), np.array([0 if d is None else d for d in run.ids], np.int64)
+    for body in answers.column("body").to_pylist():
+        _mark(marks, ids, *_parts(body))
+    gone = np.cumsum(marks[:-1]) > 0
+    spans, kept = [], []
+    for start, t in zip(run.starts, run.texts, strict=True):
+        own_gone = gone[start : start + len(t)]
+        if not own_gone.any():
+            spans.append([])
+            kept.append(t)
+            continue
+        edges = np.nonzero(np.diff(np.concatenate([[0], own_gone.view(np.int8), [0]])))[0].tolist()
+        spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
+        kept.append(np.frombuffer(t, np.uint8)[~own_gone].tobytes())
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.table([pa.array(run.ids, pa.int64()), pa.array(map(len, run.texts), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, hot_docs: int = HOT_DOCS) -> DataFrame:
@@ -341,4 +366,4 @@ def remove_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, hot_docs: int =
     by_run = dealt.groupBy("run")
     flags = by_run.applyInArrow(_send_hashes(owners), ROWS).groupBy("owner").applyInArrow(_answer_hashes(hot_docs), ROWS)
     merged = by_run.cogroup(flags.groupBy("run")).applyInArrow(_send_suffixes(owners), ROWS).groupBy("owner").applyInArrow(_merge, ROWS)
-    return by_run.cogroup(flags.unionByName(merged).groupBy("run")).applyInArrow(_cut_out(owners), RESULT)
+    return by_run.cogroup(merged.groupBy("run")).applyInArrow(_cut_out, RESULT)
