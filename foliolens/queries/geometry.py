@@ -24,15 +24,14 @@ _P = """(SELECT vec_id, label, i, cos(i * pi() / 4) * (1 + abs(CAST(embedding[i
 _EDGES = f"""(SELECT a.vec_id, a.i, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM {_P} a JOIN {_P} b ON a.vec_id = b.vec_id AND b.i = (a.i + 1) % 8)"""
 
 
-def _shape(*columns):
-    return lambda s, d: _polygons(s, d).select("vec_id", *columns)
+def _shape(columns):
+    return lambda s, d: _polygons(s, d).select("vec_id", *columns())
 
 
 def r(c, n=6):
     return F.round(c, n)
 
 
-P = F.col("p")
 _CENTRE = f"""SELECT vec_id, round(sum((px + qx) * (px * qy - qx * py)) / (3 * sum(px * qy - qx * py)), 6) AS x, round(sum((py + qy) * (px * qy - qx * py)) / (3 * sum(px * qy - qx * py)), 6) AS y FROM {_EDGES} GROUP BY vec_id"""
 
 
@@ -87,15 +86,15 @@ QUERIES = {
         "WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS e FROM embeddings) "
         "SELECT vec_id, round(a + c, 6) AS x, round(b + e, 6) AS y, round(a * c + b * e, 6) AS dot, round(a * e - c * b, 6) AS cross_, round(sqrt(a * a + b * b), 6) AS len, round(sqrt((a - c) ** 2 + (b - e) ** 2), 6) AS dist FROM v",
     ),
-    "poly_area": (_shape(r(E.area(P)).alias("area")), f"SELECT vec_id, round(sum(px * qy - qx * py) / 2, 6) AS area FROM {_EDGES} GROUP BY vec_id"),
-    "poly_perimeter": (_shape(r(E.perimeter(P)).alias("length")), f"SELECT vec_id, round(sum(sqrt((px - qx) ** 2 + (py - qy) ** 2)), 6) AS length FROM {_EDGES} GROUP BY vec_id"),
-    "poly_centroid": (lambda s, d: _polygons(s, d).select("vec_id", E.centroid(P).alias("c")).select("vec_id", r("c.x").alias("x"), r("c.y").alias("y")), _CENTRE),
+    "poly_area": (_shape(lambda: [r(E.area(F.col("p"))).alias("area")]), f"SELECT vec_id, round(sum(px * qy - qx * py) / 2, 6) AS area FROM {_EDGES} GROUP BY vec_id"),
+    "poly_perimeter": (_shape(lambda: [r(E.perimeter(F.col("p"))).alias("length")]), f"SELECT vec_id, round(sum(sqrt((px - qx) ** 2 + (py - qy) ** 2)), 6) AS length FROM {_EDGES} GROUP BY vec_id"),
+    "poly_centroid": (lambda s, d: _polygons(s, d).select("vec_id", E.centroid(F.col("p")).alias("c")).select("vec_id", r("c.x").alias("x"), r("c.y").alias("y")), _CENTRE),
     "poly_bounds": (
-        lambda s, d: _polygons(s, d).select("vec_id", E.bounds(P).alias("b")).select("vec_id", *[r(f"b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]),
+        lambda s, d: _polygons(s, d).select("vec_id", E.bounds(F.col("p")).alias("b")).select("vec_id", *[r(f"b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")]),
         f"SELECT vec_id, round(min(x), 6) AS x0, round(min(y), 6) AS y0, round(max(x), 6) AS x1, round(max(y), 6) AS y1 FROM {_P} GROUP BY vec_id",
     ),
     "poly_contains": (
-        lambda s, d: _polygons(s, d).join(table(s, d, "embeddings").select("vec_id", (_value(20) * 8).alias("x"), (_value(21) * 8).alias("y")), "vec_id").select("vec_id", E.contains(P, F.col("x"), F.col("y")).alias("inside")),
+        lambda s, d: _polygons(s, d).join(table(s, d, "embeddings").select("vec_id", (_value(20) * 8).alias("x"), (_value(21) * 8).alias("y")), "vec_id").select("vec_id", E.contains(F.col("p"), F.col("x"), F.col("y")).alias("inside")),
         f"SELECT vec_id, sum(CASE WHEN (py > y) <> (qy > y) AND x < px + (y - py) * (qx - px) / (qy - py) THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM {_EDGES} JOIN (SELECT vec_id, CAST(embedding[21] AS DOUBLE) * 8 AS x, CAST(embedding[22] AS DOUBLE) * 8 AS y FROM embeddings) USING (vec_id) GROUP BY vec_id",
     ),
     "polyfit1": (lambda s, d: E.fit_lines(_points(s, d), "vec_id").select("vec_id", r("intercept").alias("a"), r("slope").alias("b")), f"SELECT vec_id, round(a, 6) AS a, round(b, 6) AS b FROM {_LINE}"),

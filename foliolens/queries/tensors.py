@@ -13,7 +13,6 @@ from foliolens.plans.kernels import conv_size, transposed_size
 from foliolens.queries.derived import table
 from foliolens.sources.onnx import Node
 
-D = F.col("embedding")
 
 
 def _rows(s, d):
@@ -21,8 +20,8 @@ def _rows(s, d):
 
 
 def _each(data):
-    """vec_id, p, v of an array column, rounded."""
-    return lambda s, d: _rows(s, d).select("vec_id", F.posexplode(data).alias("p", "v")).select("vec_id", "p", F.round(F.col("v").cast("double"), 4).alias("v"))
+    """vec_id, p, v of an array column, rounded; data is a function, as expressions can only be made in a session."""
+    return lambda s, d: _rows(s, d).select("vec_id", F.posexplode(data()[0]).alias("p", "v")).select("vec_id", "p", F.round(F.col("v").cast("double"), 4).alias("v"))
 
 
 _E = "(SELECT vec_id, CAST(p - 1 AS INTEGER) AS p, CAST(embedding[p] AS DOUBLE) AS v, CAST(embedding[65 - p] AS DOUBLE) AS w FROM embeddings, range(1, 65) AS r(p))"
@@ -38,8 +37,14 @@ _UNARY = {
     "Identity": "v", "Dropout": "v",
 }
 _BINARY = {"Add": "v + w", "Sub": "v - w", "Mul": "v * w", "Div": "v / w", "Pow": "pow(abs(v), w)"}
-_FLIPPED = F.reverse(D)
-_ABS = F.transform(D, lambda v: F.abs(v))
+
+
+def _flipped():
+    return F.reverse("embedding")
+
+
+def _magnitudes():
+    return F.transform("embedding", lambda v: F.abs(v))
 
 
 # ---- exploded
@@ -171,24 +176,24 @@ def _planned_order(s, d):
 def _shapes(s, d):
     shape = F.array(F.lit(2), F.lit(4), F.lit(8))
     return _rows(s, d).select(
-        "vec_id", F.array_join(X.flatten_shape(shape, 1), "x").alias("flat"), F.array_join(X.reshape(F.array(F.lit(4), F.lit(-1)), F.size(D)), "x").alias("reshaped"),
-        F.array_join(X.unsqueeze_shape(shape, 0), "x").alias("unsqueezed"), F.array_join(X.squeeze_shape(X.unsqueeze_shape(shape, 3)), "x").alias("squeezed"), F.array_join(F.array(F.size(D)), "x").alias("shape"),
+        "vec_id", F.array_join(X.flatten_shape(shape, 1), "x").alias("flat"), F.array_join(X.reshape(F.array(F.lit(4), F.lit(-1)), F.size(F.col("embedding"))), "x").alias("reshaped"),
+        F.array_join(X.unsqueeze_shape(shape, 0), "x").alias("unsqueezed"), F.array_join(X.squeeze_shape(X.unsqueeze_shape(shape, 3)), "x").alias("squeezed"), F.array_join(F.array(F.size(F.col("embedding"))), "x").alias("shape"),
     )
 
 
 QUERIES = {
-    **{f"op_{n.lower()}": (_each(X.unary(n, D)), _each_sql(v)) for n, v in _UNARY.items()},
-    "op_sqrt": (_each(X.unary("Sqrt", _ABS)), _each_sql("sqrt(abs(v))")),
-    **{f"op_{n.lower()}": (_each(X.binary(n, _ABS if n == "Pow" else D, _FLIPPED)), _each_sql(f"CASE WHEN w = 0 THEN CASE WHEN v = 0 OR isnan(v) THEN 'NaN'::DOUBLE WHEN v > 0 THEN 'Infinity'::DOUBLE ELSE '-Infinity'::DOUBLE END ELSE {v} END" if n == "Div" else v)) for n, v in _BINARY.items()},
-    "op_clip": (_each(X.clip(D, -0.05, 0.1)), _each_sql("least(greatest(v, CAST(-0.05 AS FLOAT)), CAST(0.1 AS FLOAT))")),
-    "op_prelu": (_each(X.prelu(D, 0.25)), _each_sql("CASE WHEN v > 0 THEN v ELSE v * 0.25 END")),
-    "op_batchnormalization": (_each(X.affine(D, 1.5, -0.25)), _each_sql("v * 1.5 - 0.25")),
-    "op_softmax": (_each(X.softmax(D)), "SELECT vec_id, p, round(exp(v - m) / sum(exp(v - m)) OVER (PARTITION BY vec_id), 4) AS v FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m FROM " + _E + ")"),
-    "op_reducemean": (lambda s, d: _rows(s, d).select("vec_id", F.round(X.mean(D), 4).alias("v")), f"SELECT vec_id, round(avg(v), 4) AS v FROM {_E} GROUP BY vec_id"),
-    "op_transpose": (_each(X.transpose2(D, 8, 8)), "SELECT vec_id, CAST(x * 8 + y AS INTEGER) AS p, round(v, 4) AS v FROM " + _I),
-    "op_concat": (_each(F.concat(D, _FLIPPED)), f"SELECT vec_id, p, round(v, 4) AS v FROM {_E} UNION ALL SELECT vec_id, p + 64, round(w, 4) FROM {_E}"),
-    "op_slice": (_each(X.slice1(D, 60, 3, -4)), f"SELECT vec_id, CAST((60 - p) // 4 AS INTEGER) AS p, round(v, 4) AS v FROM {_E} WHERE p > 3 AND p <= 60 AND p % 4 = 0"),
-    "op_constant": (_each(F.array_repeat(F.lit(0.5).cast("float"), 3)), "SELECT vec_id, CAST(p AS INTEGER) AS p, 0.5::DOUBLE AS v FROM embeddings, range(3) AS r(p)"),
+    **{f"op_{n.lower()}": (_each(lambda n=n: [X.unary(n, F.col("embedding"))]), _each_sql(v)) for n, v in _UNARY.items()},
+    "op_sqrt": (_each(lambda: [X.unary("Sqrt", _magnitudes())]), _each_sql("sqrt(abs(v))")),
+    **{f"op_{n.lower()}": (_each(lambda n=n: [X.binary(n, _magnitudes() if n == "Pow" else F.col("embedding"), _flipped())]), _each_sql(f"CASE WHEN w = 0 THEN CASE WHEN v = 0 OR isnan(v) THEN 'NaN'::DOUBLE WHEN v > 0 THEN 'Infinity'::DOUBLE ELSE '-Infinity'::DOUBLE END ELSE {v} END" if n == "Div" else v)) for n, v in _BINARY.items()},
+    "op_clip": (_each(lambda: [X.clip(F.col("embedding"), -0.05, 0.1)]), _each_sql("least(greatest(v, CAST(-0.05 AS FLOAT)), CAST(0.1 AS FLOAT))")),
+    "op_prelu": (_each(lambda: [X.prelu(F.col("embedding"), 0.25)]), _each_sql("CASE WHEN v > 0 THEN v ELSE v * 0.25 END")),
+    "op_batchnormalization": (_each(lambda: [X.affine(F.col("embedding"), 1.5, -0.25)]), _each_sql("v * 1.5 - 0.25")),
+    "op_softmax": (_each(lambda: [X.softmax(F.col("embedding"))]), "SELECT vec_id, p, round(exp(v - m) / sum(exp(v - m)) OVER (PARTITION BY vec_id), 4) AS v FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m FROM " + _E + ")"),
+    "op_reducemean": (lambda s, d: _rows(s, d).select("vec_id", F.round(X.mean(F.col("embedding")), 4).alias("v")), f"SELECT vec_id, round(avg(v), 4) AS v FROM {_E} GROUP BY vec_id"),
+    "op_transpose": (_each(lambda: [X.transpose2(F.col("embedding"), 8, 8)]), "SELECT vec_id, CAST(x * 8 + y AS INTEGER) AS p, round(v, 4) AS v FROM " + _I),
+    "op_concat": (_each(lambda: [F.concat(F.col("embedding"), _flipped())]), f"SELECT vec_id, p, round(v, 4) AS v FROM {_E} UNION ALL SELECT vec_id, p + 64, round(w, 4) FROM {_E}"),
+    "op_slice": (_each(lambda: [X.slice1(F.col("embedding"), 60, 3, -4)]), f"SELECT vec_id, CAST((60 - p) // 4 AS INTEGER) AS p, round(v, 4) AS v FROM {_E} WHERE p > 3 AND p <= 60 AND p % 4 = 0"),
+    "op_constant": (_each(lambda: [F.array_repeat(F.lit(0.5).cast("float"), 3)]), "SELECT vec_id, CAST(p AS INTEGER) AS p, 0.5::DOUBLE AS v FROM embeddings, range(3) AS r(p)"),
     "op_shapes": (_shapes, "SELECT vec_id, '2x32' AS flat, '4x16' AS reshaped, '1x2x4x8' AS unsqueezed, '2x4x8' AS squeezed, '64' AS shape FROM embeddings"),
     "op_matmul": (_matmul, f"SELECT vec_id, CAST(y AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(v * ((j * 5 + x * 3) % 7 - 3) / 4.0), 4) AS v FROM {_I}, range(4) AS r(j) GROUP BY vec_id, y, j"),
     "op_gemm": (_gram, f"WITH s AS (SELECT label, p, sum(v) AS v FROM {_E} JOIN embeddings USING (vec_id) GROUP BY label, p) SELECT a.label AS i, b.label AS j, round(sum(a.v * b.v), 3) AS v FROM s a JOIN s b USING (p) GROUP BY ALL"),

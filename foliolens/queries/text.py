@@ -8,57 +8,60 @@ from foliolens.functions import dates, ids, money, text
 from foliolens.queries.derived import CNPJ, CPF, DATES, MONEY, brazilian, derive, table
 
 
-def _over(sql: str, *columns):
-    return lambda spark, d: derive(spark, d, sql).select("key", *columns)
+def _over(sql: str, columns):
+    """columns is a function: expressions can only be made while a session is there."""
+    return lambda spark, d: derive(spark, d, sql).select("key", *columns())
 
 
 def _found(sql: str, find):
-    sentence = F.concat(F.lit("é "), F.col("shown"), F.lit(" e ref "), F.col("key").cast("string"), F.lit(" ou "), F.col("id"))
-    return lambda spark, d: derive(spark, d, sql).select("key", F.posexplode(find(sentence)).alias("pos", "id"))
+    def build(spark, d):
+        sentence = F.concat(F.lit("é "), F.col("shown"), F.lit(" e ref "), F.col("key").cast("string"), F.lit(" ou "), F.col("id"))
+        return derive(spark, d, sql).select("key", F.posexplode(find(sentence)).alias("pos", "id"))
+
+    return build
 
 
 def _found_sql(sql: str) -> str:
     return f"SELECT key, p.pos AS pos, formatted AS id FROM ({sql}) CROSS JOIN (VALUES (0), (1)) AS p(pos) WHERE valid"
 
 
-def _docs(*columns):
-    return lambda spark, d: table(spark, d, "documents").select("doc_id", *columns)
+def _docs(columns):
+    return lambda spark, d: table(spark, d, "documents").select("doc_id", *columns())
 
 
 _FOLD = "translate(lower(replace(text, 'İ', 'i')), 'áàâãäéèêëíìîïóòôõöúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn')"
-T = F.col("text")
 
 QUERIES = {
-    "id_valid_cnpj": (_over(CNPJ, ids.valid_cnpj(F.col("shown")).alias("ok")), f"SELECT key, valid AS ok FROM ({CNPJ})"),
-    "id_valid_cpf": (_over(CPF, ids.valid_cpf(F.col("shown")).alias("ok")), f"SELECT key, valid AS ok FROM ({CPF})"),
-    "id_format_cnpj": (_over(CNPJ, ids.format_cnpj(F.col("shown")).alias("id")), f"SELECT key, formatted AS id FROM ({CNPJ})"),
-    "id_format_cpf": (_over(CPF, ids.format_cpf(F.col("shown")).alias("id")), f"SELECT key, formatted AS id FROM ({CPF})"),
+    "id_valid_cnpj": (_over(CNPJ, lambda: [ids.valid_cnpj(F.col("shown")).alias("ok")]), f"SELECT key, valid AS ok FROM ({CNPJ})"),
+    "id_valid_cpf": (_over(CPF, lambda: [ids.valid_cpf(F.col("shown")).alias("ok")]), f"SELECT key, valid AS ok FROM ({CPF})"),
+    "id_format_cnpj": (_over(CNPJ, lambda: [ids.format_cnpj(F.col("shown")).alias("id")]), f"SELECT key, formatted AS id FROM ({CNPJ})"),
+    "id_format_cpf": (_over(CPF, lambda: [ids.format_cpf(F.col("shown")).alias("id")]), f"SELECT key, formatted AS id FROM ({CPF})"),
     "id_find_cnpj": (_found(CNPJ, ids.find_cnpjs), _found_sql(CNPJ)),
     "id_find_cpf": (_found(CPF, ids.find_cpfs), _found_sql(CPF)),
-    "id_digits": (_over(CNPJ, text.digits_only(F.col("formatted")).alias("id")), f"SELECT key, id FROM ({CNPJ})"),
+    "id_digits": (_over(CNPJ, lambda: [text.digits_only(F.col("formatted")).alias("id")]), f"SELECT key, id FROM ({CNPJ})"),
     "id_check_digit": (
-        _over(CPF, ids.check_digit(F.col("id"), ids.CPF_WEIGHTS[0]).alias("d1"), ids.weighted_sum(F.col("id"), ids.CPF_WEIGHTS[0]).alias("s")),
+        _over(CPF, lambda: [ids.check_digit(F.col("id"), ids.CPF_WEIGHTS[0]).alias("d1"), ids.weighted_sum(F.col("id"), ids.CPF_WEIGHTS[0]).alias("s")]),
         f"SELECT key, CAST(substr(id, 10, 1) AS INTEGER) AS d1, CAST({' + '.join(f'CAST(substr(id,{i + 1},1) AS INTEGER)*{10 - i}' for i in range(9))} AS INTEGER) AS s FROM ({CPF})",
     ),
-    "date_parse": (_over(DATES, dates.parse_date(T).alias("d")), f"SELECT key, expected AS d FROM ({DATES})"),
+    "date_parse": (_over(DATES, lambda: [dates.parse_date(F.col("text")).alias("d")]), f"SELECT key, expected AS d FROM ({DATES})"),
     "date_month": (
         lambda spark, d: table(spark, d, "orders").select("o_orderkey", dates.month_number(F.element_at(F.lit(["JANEIRO", "março", "foo"]), (F.col("o_orderkey") % 3 + 1).cast("int"))).alias("m")).fillna({"m": 0}).select("o_orderkey", "m"),
         "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(1 AS BIGINT) WHEN 1 THEN CAST(3 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS m FROM orders",
     ),
-    "money_parse": (_over(MONEY, money.parse_money(T).alias("cents")), f"SELECT key, expected AS cents FROM ({MONEY})"),
-    "money_format": (_over(MONEY, money.format_money(F.col("cents")).alias("text")), f"SELECT key, CASE WHEN cents < 0 THEN '-' ELSE '' END||'R$ '||{brazilian('cents')} AS text FROM ({MONEY})"),
-    "money_thousands": (_over(MONEY, money.thousands(F.abs("cents")).alias("t")), f"SELECT key, replace(format('{{:,}}', abs(cents)), ',', '.') AS t FROM ({MONEY})"),
-    "money_round_trip": (_over(MONEY, money.parse_money(money.format_money(F.col("cents"))).alias("back")), f"SELECT key, abs(cents) AS back FROM ({MONEY})"),
-    "fold_text": (_docs(F.md5(text.fold(T)).alias("folded")), f"SELECT doc_id, md5({_FOLD}) AS folded FROM documents"),
-    "fold_index": (_docs(text.folded_index(T, "Été").alias("at")), f"SELECT doc_id, CAST(strpos({_FOLD}, 'ete') - 1 AS INTEGER) AS at FROM documents"),
-    "label_after": (_docs(F.md5(text.after_label(T, "QUE ")).alias("rest")), f"SELECT doc_id, CASE WHEN strpos({_FOLD}, 'que ') > 0 THEN md5(substr(text, strpos({_FOLD}, 'que ') + 4)) END AS rest FROM documents"),
-    "label_cut_before": (_docs(F.md5(text.cut_before(T, "que ")).alias("head")), f"SELECT doc_id, md5(CASE WHEN strpos({_FOLD}, 'que ') > 0 THEN substr(text, 1, strpos({_FOLD}, 'que ') - 1) ELSE text END) AS head FROM documents"),
-    "before_first_digit": (_docs(F.md5(text.before_first_digit(T)).alias("head")), "SELECT doc_id, md5(regexp_extract(text, '^[^0-9]*', 0)) AS head FROM documents"),
-    "trim_space": (_docs(F.md5(text.trim_space(F.concat(F.lit("\t \xa0"), T, F.lit("　\n")))).alias("t")), "SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(12288))) AS t FROM documents"),
-    "first_phrase": (_docs(F.md5(text.first_phrase(F.concat(F.lit(" : "), T, F.lit("  tail")))).alias("p")), "SELECT doc_id, md5(split_part(ltrim(' : ' || text || '  tail', ' :'), '  ', 1)) AS p FROM documents"),
-    "without_spaces": (_docs(F.length(text.without_spaces(T)).alias("n")), "SELECT doc_id, CAST(length(replace(text, ' ', '')) AS INTEGER) AS n FROM documents"),
+    "money_parse": (_over(MONEY, lambda: [money.parse_money(F.col("text")).alias("cents")]), f"SELECT key, expected AS cents FROM ({MONEY})"),
+    "money_format": (_over(MONEY, lambda: [money.format_money(F.col("cents")).alias("text")]), f"SELECT key, CASE WHEN cents < 0 THEN '-' ELSE '' END||'R$ '||{brazilian('cents')} AS text FROM ({MONEY})"),
+    "money_thousands": (_over(MONEY, lambda: [money.thousands(F.abs("cents")).alias("t")]), f"SELECT key, replace(format('{{:,}}', abs(cents)), ',', '.') AS t FROM ({MONEY})"),
+    "money_round_trip": (_over(MONEY, lambda: [money.parse_money(money.format_money(F.col("cents"))).alias("back")]), f"SELECT key, abs(cents) AS back FROM ({MONEY})"),
+    "fold_text": (_docs(lambda: [F.md5(text.fold(F.col("text"))).alias("folded")]), f"SELECT doc_id, md5({_FOLD}) AS folded FROM documents"),
+    "fold_index": (_docs(lambda: [text.folded_index(F.col("text"), "Été").alias("at")]), f"SELECT doc_id, CAST(strpos({_FOLD}, 'ete') - 1 AS INTEGER) AS at FROM documents"),
+    "label_after": (_docs(lambda: [F.md5(text.after_label(F.col("text"), "QUE ")).alias("rest")]), f"SELECT doc_id, CASE WHEN strpos({_FOLD}, 'que ') > 0 THEN md5(substr(text, strpos({_FOLD}, 'que ') + 4)) END AS rest FROM documents"),
+    "label_cut_before": (_docs(lambda: [F.md5(text.cut_before(F.col("text"), "que ")).alias("head")]), f"SELECT doc_id, md5(CASE WHEN strpos({_FOLD}, 'que ') > 0 THEN substr(text, 1, strpos({_FOLD}, 'que ') - 1) ELSE text END) AS head FROM documents"),
+    "before_first_digit": (_docs(lambda: [F.md5(text.before_first_digit(F.col("text"))).alias("head")]), "SELECT doc_id, md5(regexp_extract(text, '^[^0-9]*', 0)) AS head FROM documents"),
+    "trim_space": (_docs(lambda: [F.md5(text.trim_space(F.concat(F.lit("\t \xa0"), F.col("text"), F.lit("　\n")))).alias("t")]), "SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(12288))) AS t FROM documents"),
+    "first_phrase": (_docs(lambda: [F.md5(text.first_phrase(F.concat(F.lit(" : "), F.col("text"), F.lit("  tail")))).alias("p")]), "SELECT doc_id, md5(split_part(ltrim(' : ' || text || '  tail', ' :'), '  ', 1)) AS p FROM documents"),
+    "without_spaces": (_docs(lambda: [F.length(text.without_spaces(F.col("text"))).alias("n")]), "SELECT doc_id, CAST(length(replace(text, ' ', '')) AS INTEGER) AS n FROM documents"),
     "free_text_ids": (
-        lambda spark, d: table(spark, d, "documents").select("doc_id", F.size(ids.find_cnpjs(T)).alias("cnpjs"), F.size(ids.find_cpfs(T)).alias("cpfs"), dates.parse_date(T).alias("d"), money.parse_money(T).isNotNull().alias("m")),
+        lambda spark, d: table(spark, d, "documents").select("doc_id", F.size(ids.find_cnpjs(F.col("text"))).alias("cnpjs"), F.size(ids.find_cpfs(F.col("text"))).alias("cpfs"), dates.parse_date(F.col("text")).alias("d"), money.parse_money(F.col("text")).isNotNull().alias("m")),
         "SELECT doc_id, 0 AS cnpjs, 0 AS cpfs, CAST(NULL AS DATE) AS d, regexp_matches(text, '[0-9]') AS m FROM documents",
     ),
 }
