@@ -124,3 +124,6 @@ QUERIES = {
         "SELECT vec_id, round(sum((sqrt(1 + (a * 20 * (i - 1) / 511.0 + b) ** 2) + sqrt(1 + (a * 20 * i / 511.0 + b) ** 2)) / 2 * 10 / 511.0), 5) AS s FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings), range(1, 512) AS r(i) GROUP BY vec_id",
     ),
 }
+
+#: A negative zero that rounding leaves is made zero.
+QUERIES = {name: (build, sql.replace("round(", "0.0 + round(")) for name, (build, sql) in QUERIES.items()}

@@ -216,3 +216,6 @@ QUERIES = {
     "topo_levels": (_topology, "SELECT vec_id AS node, CAST(vec_id % 4 AS INTEGER) AS level FROM embeddings"),
     "topo_order": (_planned_order, "SELECT CAST(i AS INTEGER) AS position, 't' || i AS output FROM range(12) AS r(i)"),
 }
+
+#: A negative zero that rounding leaves is made zero.
+QUERIES = {name: (build, sql.replace("round(", "0.0 + round(")) for name, (build, sql) in QUERIES.items()}
