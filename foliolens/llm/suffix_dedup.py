@@ -91,6 +91,14 @@ class Texts:
         self.buf = b"".join(self.texts)
         self.starts = [0, *np.cumsum([len(t) for t in self.texts])[:-1].tolist()]
 
+    def document(self, places: np.ndarray | list[int]) -> np.ndarray:
+        """Index of the document at each place of the bytes."""
+        return np.searchsorted(self.starts, places, side="right") - 1
+
+    def numbers(self) -> np.ndarray:
+        """The doc_id of each document; 0 where there is none, as no suffix is from there."""
+        return np.array([0 if d is None else d for d in self.ids], "<i8")
+
 
 class Run(Texts):
     """The anchors of the documents of a run: arrays first and last (window starts), at (anchor), hash, doc (index)."""
@@ -128,21 +136,21 @@ class Run(Texts):
         at = np.nonzero(new)[0]
         return h[at], np.add.reduceat(other, at) if len(at) else np.empty(0, np.int64)
 
-    def suffixes(self, shared: np.ndarray, flags: np.ndarray, owners: int) -> Iterator[tuple[int, bytes, int, int]]:
-        """(owner, suffix, first window, document) of each anchor that occurs in several documents."""
+    def suffixes(self, shared: np.ndarray, flags: np.ndarray, owners: int) -> Iterator[tuple[int, bytes, int]]:
+        """(owner, suffix, first window) of each anchor that occurs in several documents."""
         if not len(shared):
             return
         place = np.minimum(np.searchsorted(shared, self.hash), len(shared) - 1)
         flag = np.where(shared[place] == self.hash, flags[place], 0)
         buf = self.buf
         for i in np.nonzero(flag)[0]:
-            s, e, a, d = int(self.first[i]), int(self.last[i]), int(self.at[i]), int(self.doc[i])
+            s, e, a = int(self.first[i]), int(self.last[i]), int(self.at[i])
             if flag[i] == 1:
-                yield int(self.hash[i]) % owners, buf[a : e + WINDOW] + CUT + buf[s:a], s, d
+                yield int(self.hash[i]) % owners, buf[a : e + WINDOW] + CUT + buf[s:a], s
             else:
                 for p in range(s, e + 1):
                     w = buf[p : p + WINDOW]
-                    yield zlib.crc32(w) % owners, w, p, d
+                    yield zlib.crc32(w) % owners, w, p
 
 
 def _owner_of(h: np.ndarray, owners: int) -> np.ndarray:
@@ -167,17 +175,16 @@ def _unpack(body: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _planes(sorted_hashes: np.ndarray) -> np.ndarray:
-    """Differences of a sorted run, byte by byte: the high bytes are mostly zero and pack to nothing."""
-    d = np.diff(sorted_hashes, prepend=np.uint64(0))
-    return np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).reshape(-1)
+def _planes(values: np.ndarray, width: int) -> np.ndarray:
+    """Whole numbers byte by byte: the high bytes are mostly zero and pack to nothing."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).reshape(-1)
 
 
-def _unplanes(planes: np.ndarray) -> np.ndarray:
-    n = len(planes) // 6
-    d = np.zeros((n, 8), np.uint8)
-    d[:, :6] = planes.reshape(6, n).T
-    return np.cumsum(d.view("<u8").reshape(-1), dtype=np.uint64)
+def _unplanes(planes: np.ndarray, width: int) -> np.ndarray:
+    n = len(planes) // width
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.reshape(width, n).T
+    return out.view("<u8").reshape(-1)
 
 
 def _send_hashes(owners: int):
@@ -186,7 +193,7 @@ def _send_hashes(owners: int):
         h, docs = Run(table).hashes()
         owner = _owner_of(h, owners)
         bounds = np.searchsorted(owner, np.arange(owners + 1))
-        return _rows([(run, o, 0, _pack(_planes(h[a:b]), np.minimum(docs[a:b], 255).astype(np.uint8))) for o, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a])
+        return _rows([(run, o, 0, _pack(_planes(np.diff(h[a:b], prepend=np.uint64(0)), 6), np.minimum(docs[a:b], 255).astype(np.uint8))) for o, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a])
 
     return send
 
@@ -197,7 +204,7 @@ def _answer_hashes(hot_docs: int):
         owner = table.column("owner")[0].as_py()
         runs = table.column("run").to_pylist()
         got = [_unpack(b, "u1", "u1") for b in table.column("body").to_pylist()]
-        hashes = [_unplanes(p) for p, _ in got]
+        hashes = [np.cumsum(_unplanes(p, 6), dtype=np.uint64) for p, _ in got]
         distinct, where = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(where, np.concatenate([c for _, c in got]).astype(np.int64), len(distinct))
         flags = np.where(total > hot_docs, 2, total > 1).astype(np.uint8)[where]
@@ -238,16 +245,17 @@ def _send_suffixes(owners: int):
         if not docs.num_rows or not answers.num_rows:
             return _rows([])
         number, run = docs.column("run")[0].as_py(), Run(docs)
-        found: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-        for o, suffix, s, d in run.suffixes(*_flags(run, answers, owners), owners):
-            found.setdefault(o, {}).setdefault(suffix, []).append((s, d))
+        found: dict[int, dict[bytes, list[int]]] = {}
+        for o, suffix, s in run.suffixes(*_flags(run, answers, owners), owners):
+            found.setdefault(o, {}).setdefault(suffix, []).append(s)
         out = []
         for o, own in found.items():
             strings = sorted(own)
-            least = np.array([min(run.ids[d] for _, d in own[s]) for s in strings], "<i8")
-            places = np.array([p for s in strings for p in own[s]], "<i8").reshape(-1, 2)
+            # Documents are in order of doc_id, so the first place of a suffix is in the smallest.
+            least = run.numbers()[run.document([min(own[s]) for s in strings])]
             # Where a run's suffixes stand travels with them and comes back with the answer.
-            at = _pack(np.array([len(own[s]) for s in strings], "<u4"), np.ascontiguousarray(places[:, 0]), places[:, 1].astype("<u4"))
+            times, starts = np.array([len(own[s]) for s in strings]), np.array([p for s in strings for p in own[s]])
+            at = _pack(_planes(times, 4), _planes(starts, 5))
             out.append((number, o, 2, _framed(front_code(strings), _pack(least), at)))
         return _rows(out)
 
@@ -318,11 +326,11 @@ def _merge(table: pa.Table) -> pa.Table:
     return _rows([(run, owner, 3, _framed(answer, p[2])) for (run, p), answer in zip(given, answers, strict=True)])
 
 
-def _mark(marks: np.ndarray, ids: np.ndarray, answer: bytes, places: bytes) -> None:
+def _mark(marks: np.ndarray, run: Texts, ids: np.ndarray, answer: bytes, places: bytes) -> None:
     """Marks the ends of the windows that a smaller document has. An answer gives each suffix as stretches of windows with
     one smallest document; each place of the suffix takes all of its stretches."""
     stretches, lengths, least = (x.astype(np.int64) for x in _unpack(answer, "u1", "<u4", "<i8"))
-    times, starts, docs = (x.astype(np.int64) for x in _unpack(places, "<u4", "<i8", "<u4"))
+    times, starts = (_unplanes(x, width).astype(np.int64) for x, width in zip(_unpack(places, "u1", "u1"), (4, 5), strict=True))
     first = np.cumsum(stretches) - stretches
     before = np.cumsum(lengths) - lengths
     before -= np.repeat(before[first], stretches)
@@ -330,7 +338,7 @@ def _mark(marks: np.ndarray, ids: np.ndarray, answer: bytes, places: bytes) -> N
     each = stretches[suffix]
     place = np.repeat(np.arange(len(suffix)), each)
     stretch = np.arange(len(place)) - np.repeat(np.cumsum(each) - each, each) + first[suffix[place]]
-    hit = least[stretch] < ids[docs[place]]
+    hit = least[stretch] < ids[run.document(starts)][place]
     start = (starts[place] + before[stretch])[hit]
     np.add.at(marks, start, 1)
     np.add.at(marks, start + lengths[stretch][hit] - 1 + WINDOW, -1)
@@ -338,9 +346,9 @@ def _mark(marks: np.ndarray, ids: np.ndarray, answer: bytes, places: bytes) -> N
 
 def _cut_out(docs: pa.Table, answers: pa.Table) -> pa.Table:
     run = Texts(docs)
-    marks, ids = np.zeros(len(run.buf) + 1, np.int32), np.array([0 if d is None else d for d in run.ids], np.int64)
+    marks, ids = np.zeros(len(run.buf) + 1, np.int32), run.numbers()
     for body in answers.column("body").to_pylist():
-        _mark(marks, ids, *_parts(body))
+        _mark(marks, run, ids, *_parts(body))
     gone = np.cumsum(marks[:-1]) > 0
     spans, kept = [], []
     for start, t in zip(run.starts, run.texts, strict=True):
