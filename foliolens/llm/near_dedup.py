@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import checkpointed
+from foliolens.llm.common import broadcast_if_small, checkpointed
 from foliolens.llm.components import connected_components
 from foliolens.llm.hamming import links
 
@@ -59,25 +59,27 @@ def shingle_fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     return majority(hashes)
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for every row of docs(doc_id, text)."""
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the long columns ``extra`` for every row of docs(doc_id, text)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([shingle_fingerprint(t or "", words, seed) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64)), *(b.column(c) for c in extra)], names=["doc_id", "fp", *extra])
 
-    return docs.select("doc_id", "text").mapInArrow(found, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *extra).mapInArrow(found, ", ".join(f"{c} long" for c in ("doc_id", "fp", *extra)))
 
 
 def components(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """fp, component_id for each distinct fp of fps(doc_id, fp): the smallest doc_id reachable over links within the radius."""
+    """fp, root, component_id for each distinct fp of fps(doc_id, fp): the smallest fp and the smallest doc_id reachable
+    over links within the radius."""
     classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     nodes = connected_components(links(classes, radius))
     linked = nodes.join(classes, nodes["node"] == classes["fp"]).select("fp", "root", "least")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_linked = linked.join(ids, "root").select("fp", "component_id")
-    return classes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of_linked = linked.join(ids, "root").select("fp", "root", "component_id")
+    found = classes.join(of_linked, "fp", "left")
+    return found.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -87,15 +89,26 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return fps.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs(doc_id, text, ...) that stay when of each component only one row is kept: the one of the smallest
-    doc_id, and of rows with that doc_id the one of the smallest hash. Rows without a doc_id stay only in components without ids."""
-    fps = checkpointed(fingerprints(docs, words))
-    of_class = checkpointed(components(fps, radius))
-    # Only the first row of a class can be kept, so ids are compared by class before anything is joined to texts.
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of_class, "fp")
-    lowest = F.lit(-(1 << 63))  # stands for no id
-    kept = first.where(F.col("least").eqNullSafe(F.col("component_id"))).select(F.coalesce("least", lowest).alias("id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), lowest).alias("id")).join(checkpointed(kept), "id")
-    in_order = Window.partitionBy("id").orderBy(F.xxhash64("row.text"), "row.text")
+def text_key(text: str = "text") -> Column:
+    """A 64-bit hash of a text; null counts as the empty text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def first_of_each(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that stay when one row is kept of every component, given as roots(key, id, root)
+    with a row for each text_key and doc_id: the row of the smallest doc_id, and of the smallest key among those. Rows without
+    a doc_id stay only in components without ids, one in each."""
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    kept = roots.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.id").alias("_id"), F.col("first.key").alias("_key"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
+    rows = rows.join(broadcast_if_small(checkpointed(kept)), (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))
+    in_order = Window.partitionBy("root").orderBy("row.text")
     return rows.withColumn("number", F.row_number().over(in_order)).where("number = 1").select("row.*")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that stay when one row is kept of every component of near duplicates."""
+    keyed = docs.select("doc_id", "text", text_key().alias("key"))
+    fps = checkpointed(fingerprints(keyed, words, extra=("key",)))
+    roots = fps.join(components(fps, radius), "fp").select("key", F.col("doc_id").alias("id"), "root")
+    return first_of_each(docs, roots)

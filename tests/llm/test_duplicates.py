@@ -47,6 +47,15 @@ def test_near_duplicates_match_brute_force(docs, empty, corpus):
     assert near_dedup.one_of_each(docs).columns == docs.columns and near_dedup.one_of_each(empty).count() == 0
 
 
+def test_every_component_keeps_one_row(spark):
+    """Many rows without a doc_id, and one doc_id on unrelated texts of which one has a copy with a smaller doc_id."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(None, text(i)) for i in range(12) for _ in range(2)] + [(None, text(50)), (7, text(50)), (7, text(51)), (3, text(51)), (7, text(52)), (7, text(52)), (None, None), (None, "")]
+    kept = near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(None, text(i)) for i in range(12)] + [(7, text(50)), (3, text(51)), (7, text(52))]
+    assert sorted(((d, t) for d, t in kept if t), key=str) == sorted(want, key=str) and len(kept) == len(want) + 1
+
+
 def test_every_pair_shares_a_key():
     r = np.random.default_rng(0)
     for n in (10, 1 << 25):
