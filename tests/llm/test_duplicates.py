@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from foliolens.llm import doc_fingerprints as P
-from foliolens.llm import hamming, merge_sort, near_dedup, suffix_dedup
+from foliolens.llm import hamming, merge_sort, near_dedup, similar, suffix_dedup
 from foliolens.llm.components import connected_components
 
 
@@ -56,6 +57,39 @@ def test_every_component_keeps_one_row(spark):
     assert sorted(((d, t) for d, t in kept if t), key=str) == sorted(want, key=str) and len(kept) == len(want) + 1
 
 
+@pytest.mark.parametrize("part", [similar.PART, 300])
+def test_similar_texts_keep_one_row(spark, monkeypatch, docs, empty, corpus, part):
+    """Texts with some words changed, against all pairs of five-word shingle sets; also in many parts."""
+    monkeypatch.setattr(similar, "PART", part)
+    r = random.Random(part)
+    rows = [(x[0], x[1]) for x in corpus]
+    for i in range(12):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(150)]
+        for j in range(6):
+            own = list(base)
+            for at in r.sample(range(150), r.randint(0, 6)):
+                own[at] = f"v{r.randint(0, 10**6)}"
+            rows.append((1000 + 10 * i + j if j % 3 else None, " ".join(own)))
+    sets = []
+    for _, t in rows:
+        words = "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = roots(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    least = {k: min((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if root[i] == k) for k in set(root)}
+    kept = similar.one_of_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    place = {(d, t): i for i, (d, t) in enumerate(rows)}
+    assert sorted(root[place[d, t]] for d, t in kept) == sorted(least)
+    assert all((d is None, d or 0) == least[root[place[d, t]]] for d, t in kept)
+    assert len(kept) > len(near_dedup.one_of_each(docs).collect()) and similar.one_of_similar(empty).count() == 0
+    assert similar.one_of_similar(docs).columns == docs.columns
+
+
+def test_pipeline_keeps_one_of_near_copies(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:60], "other", *words[61:120], "more", *words[121:]])), (3, " ".join(words[::-1]))]
+    assert sorted(r[0] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()) == [1, 3]
+
+
 def test_every_pair_shares_a_key():
     r = np.random.default_rng(0)
     for n in (10, 1 << 25):
