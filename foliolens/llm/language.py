@@ -6,6 +6,11 @@ frequency in each language. An unseen word is cut greedily into pieces: at each
 step down; a character that no language knows scores alike in all. The score of a text is the posterior of the best
 language under equal priors.
 
+The posterior grows with every word and says which language is likeliest, not whether any is likely. For that there is
+the evidence of a text: the median over its words of the log-likelihood of the word's pieces in the language that suits
+it best, per letter or word end; a step down and an unknown character cost what ``BACKOFF`` and ``UNKNOWN_CHARACTER`` say.
+Known words are cut into pieces too, so that training rows, by which ``least_evidence`` sets the limit, are like others.
+
 The classifier is fitted on a bounded sample of labelled rows: about ``sample_per_lang`` documents of each language,
 chosen by a hash of doc_id, and keeps the ``max_words`` and ``max_grams`` most frequent entries, so the model that every
 task receives has a fixed size bound whatever the corpus. Counting is distributed and only the bounded tables are collected.
@@ -34,9 +39,13 @@ SAMPLE_PER_LANG = 1500
 MAX_WORDS, MAX_GRAMS, MAX_GRAM = 60_000, 40_000, 5
 MAX_LANGS = 200
 BACKOFF = math.log(0.4)
+UNKNOWN_CHARACTER = -20.0
+#: The limit of the evidence lies below this quantile of training rows, by this many times the quantile's distance from their median.
+LOW_SHARE, MARGIN = 0.001, 2.0
 CACHE_WORDS = 200_000
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _WORD = re.compile(r"[^\W\d_]+")
+_WHOLE = re.compile(r"(?<![\d_])[^\W\d_]++(?![\d_])")
 
 
 def grams(word: str, longest: int = MAX_GRAM) -> Iterator[str]:
@@ -47,7 +56,8 @@ def grams(word: str, longest: int = MAX_GRAM) -> Iterator[str]:
 
 
 class LanguageModel:
-    """Log frequencies by language; ``scores`` gives one number for each language of ``langs``."""
+    """Log frequencies: a vector for each word and n-gram, with one number for each language of ``langs`` and, last, the
+    characters that no language knows."""
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], by_length: dict[str, np.ndarray]):
         self.langs = langs
@@ -56,47 +66,81 @@ class LanguageModel:
         for n in range(1, MAX_GRAM + 1):
             self.grams |= self._logs({g: c for g, c in by_length.items() if len(g) == n})
         self.unseen: dict[str, np.ndarray] = {}
+        self.fits: dict[str, float] = {}
 
     def _logs(self, counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         if not counts:
             return {}
         table = np.array(list(counts.values()), np.float64) + 0.5
-        return dict(zip(counts, np.log(table / table.sum(axis=0)), strict=True))
+        logs = np.log(table / table.sum(axis=0))
+        return dict(zip(counts, np.column_stack([logs, np.zeros(len(logs))]), strict=True))
 
     def unseen_word(self, word: str) -> np.ndarray:
         out = self.unseen.get(word)
         if out is None:
             if len(self.unseen) > CACHE_WORDS:
                 self.unseen.clear()
-            out, padded, i = np.zeros(len(self.langs)), f" {word} ", 0
+            out, padded, i = np.zeros(len(self.langs) + 1), f" {word} ", 0
             while i < len(padded):
                 for n in range(min(MAX_GRAM, len(padded) - i), 0, -1):
                     if (known := self.grams.get(padded[i : i + n])) is not None:
-                        out = out + known + BACKOFF * (MAX_GRAM - n)
+                        out = out + known
+                        out[:-1] += BACKOFF * (MAX_GRAM - n)
                         break
+                else:
+                    out[-1] += 1
                 i += n
             self.unseen[word] = out
         return out
 
+    def word_fit(self, word: str) -> float:
+        """Log-likelihood of a word's pieces, per letter or word end, in the language that suits it best."""
+        out = self.fits.get(word)
+        if out is None:
+            if len(self.fits) > CACHE_WORDS:
+                self.fits.clear()
+            pieces = self.unseen_word(word)
+            out = self.fits[word] = float(pieces[:-1].max() + pieces[-1] * UNKNOWN_CHARACTER) / (len(word) + 2)
+        return out
+
+    def evidence(self, text: str) -> float:
+        lowered = text.lower()
+        # Letters within keys and numbers say nothing, unless there is nothing else.
+        found = Counter(_WHOLE.findall(lowered) or _WORD.findall(lowered))
+        if not found or not self.langs:
+            return -math.inf
+        fits = np.array([self.word_fit(w) for w in found])
+        order = np.argsort(fits)
+        upto = np.cumsum(np.fromiter(found.values(), np.int64, len(fits))[order])
+        return float(fits[order[np.searchsorted(upto, upto[-1] / 2)]])
+
     def predict(self, text: str) -> tuple[str, float]:
         found = Counter(_WORD.findall(text.lower()))
         if not found or not self.langs:
             return UNKNOWN, 0.0
         rows = [self.words[w] if w in self.words else self.unseen_word(w) for w in found]
         total = np.fromiter(found.values(), np.float64, len(rows)) @ np.array(rows)
+        total = total[:-1]
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
-def fit(docs: DataFrame, learn: Column, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
-    """A model of the rows of docs(doc_id, text, lang) for which ``learn`` holds and text and lang are not null."""
+def _sample(docs: DataFrame, learn: Column, sample_per_lang: int) -> tuple[list[str], DataFrame | None]:
+    """The languages to learn, by name, and the rows (lang, text) to learn them from."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not sizes:
-        return LanguageModel([], {}, {})
+        return [], None
     langs = sorted(sizes)
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_per_lang / sizes[k]))])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
+    return langs, rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
+
+
+def fit(docs: DataFrame, learn: Column, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
+    """A model of the rows of docs(doc_id, text, lang) for which ``learn`` holds and text and lang are not null."""
+    langs, chosen = _sample(docs, learn, sample_per_lang)
+    if chosen is None:
+        return LanguageModel([], {}, {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,14 +178,34 @@ def _predictor(docs: DataFrame, model: LanguageModel) -> Column:
     return predicted("text")
 
 
+def _evidence(docs: DataFrame, model: LanguageModel) -> Column:
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def found(text: pa.Array) -> pa.Array:
+        return pa.array([held.value.evidence(t) for t in texts(text)], pa.float64())
+
+    return found("text")
+
+
+def least_evidence(docs: DataFrame, learn: Column, model: LanguageModel, sample_per_lang: int = SAMPLE_PER_LANG) -> float:
+    """The limit under which a text is in no language that was learned, from the rows that ``fit`` learns from."""
+    _, chosen = _sample(docs, learn, sample_per_lang)
+    if chosen is None:
+        return -math.inf
+    found = chosen.select(_evidence(docs, model).alias("evidence")).where(F.col("evidence") > -math.inf)
+    low, middle = found.agg(F.percentile("evidence", F.lit(LOW_SHARE)), F.percentile("evidence", F.lit(0.5))).first()
+    return -math.inf if low is None else low - MARGIN * (middle - low)
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with the columns lang_pred and score, which replace columns of these names."""
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*rest, _predictor(docs, model).alias("predicted ")).select(*rest, "`predicted `.lang_pred", "`predicted `.score")
 
 
-def identified(docs: DataFrame, model: LanguageModel, least_score: float) -> DataFrame:
-    """The rows of docs whose language is found with at least this score, all columns as they are."""
+def identified(docs: DataFrame, model: LanguageModel, least_score: float, least: float = -math.inf) -> DataFrame:
+    """The rows of docs whose language is found with at least this score and this evidence, all columns as they are."""
     p = F.col("predicted ")
-    rows = docs.select(F.struct("*").alias("row"), _predictor(docs, model).alias("predicted "))
-    return rows.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least_score)).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), _predictor(docs, model).alias("predicted "), _evidence(docs, model).alias("evidence "))
+    return rows.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least_score) & (F.col("evidence ") >= least)).select("row.*")

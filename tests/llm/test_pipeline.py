@@ -1,9 +1,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from foliolens.llm import language
+from foliolens.llm.common import crc32_mod
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +26,16 @@ def test_stages(spark):
     assert docs.count() > 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_other_languages_and_junk_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = ["La vita è bella e il sole splende sopra la città oggi", "xqzv kjwq zzxq wrtpsdf ghjklm bcvxz", "zx9q kq", "这是 中文 文本", "Всем привет мир"]
+    given = docs.unionByName(spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, given, SF).collect()}
+    known = language.predict(docs, language.fit(docs, crc32_mod("doc_id", 3) != 1)).where(F.col("score") >= corpus_pipeline.LEAST_LANGUAGE_SCORE)
+    assert kept == {r["doc_id"] for r in known.collect()} and len(kept) > 0.99 * docs.count()
+
+
 def test_edges_in_every_stage(spark, docs, empty):
     columns = ["doc_id", "text", "lang", "source", "n_chars", "score"]
     for given in (docs.select(columns), empty.select(columns)):
