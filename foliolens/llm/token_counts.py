@@ -27,7 +27,7 @@ from foliolens.llm.common import single_threaded, texts
 TABLE_ROWS = 300_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Punctuation and symbols among the characters below.
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1-\u00a9\u00ab-\u00b1\u00b4-\u00b8\u00bb\u00bf\u00d7\u00f7\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u20ac"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u20ac"
 MARKS = re.escape(_MARKS[:32]) + _MARKS[32:]
 #: Finds a character outside a set in which the standard library's classes and case mappings agree with the tokenizer's
 #: (ASCII, Latin-1 and Latin Extended letters, common punctuation). Texts with such a character take the library's own steps.

@@ -34,6 +34,16 @@ def test_common_characters_have_the_same_classes():
             assert encoder.encode(s).tolist() == byte.encode(s, add_special_tokens=False).ids
 
 
+def test_common_characters_next_to_each_other():
+    """Each character that skips the library's own steps, beside letters, digits and marks; units and names with the micro sign."""
+    word, counter = Tokenizer.from_file(WORD), token_counts.PieceCounter(WORD)
+    common = [c for c in map(chr, range(0x3000)) if not token_counts.UNCOMMON.search(c)]
+    beside = ["a", "\u00e9", "5", " ", "\u00b7", "!", "'", "\u00ab", "\u2026"]
+    odd = ["5 N\u00b7\u00b5m", "kg\u00b7\u00b5s", "cm\u00b7\u00b5g", "\u00ab\u00b5Torrent\u00bb"]
+    for s in [*odd, *(f"{x}{c}{y}m" for c in [*common, "\u00b5"] for x in beside for y in beside)]:
+        assert counter.count(s) == len(word.encode(s, add_special_tokens=False).ids), s
+
+
 def test_packing_round_trip(spark, docs, empty, corpus):
     t = Tokenizer.from_file(BYTE)
     pieces = packing.pack(docs, BYTE, capacity=256, group_tokens=5000).collect()
