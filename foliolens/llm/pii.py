@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from foliolens.llm.boosting import BoostedTrees
-from foliolens.llm.common import texts
+from foliolens.llm.common import sliced, texts
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 EXAMPLES = 1500
@@ -92,9 +92,14 @@ def joined(spans: list[Span]) -> str:
 # ---- candidates
 
 _SPELLED_MAIL = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[ ]?[\[({][ ]?at[ ]?[\])}][ ]?[A-Za-z0-9.-]{1,64}(?:[ ]?[\[({][ ]?dot[ ]?[\])}][ ]?[A-Za-z]{2,24})?")
-_NUMBERS = re.compile(r"(?<![0-9A-Za-z_])[+(]?[0-9][0-9 ().-]{5,28}[0-9](?![0-9A-Za-z_])")
-_NAMED = re.compile(r"(?i)(?<![a-z])(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?[^\s\"',;]{6,128}[\"']?")
-_RANDOM = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,128}={0,2}(?![A-Za-z0-9_+/-])")
+_STRETCH = re.compile(r"[+(]{0,2}[0-9][0-9 ().-]*+")
+_GROUP = re.compile(r"[0-9]++")
+#: Digits of a candidate number, by kind; an IP has four groups instead. LENGTH is in characters, of any of them.
+DIGITS, LENGTH = {"card": (12, 19), "phone": (7, 15)}, 31
+#: Candidates scored at a time; bounds memory on texts full of numbers.
+SCORED = 1 << 15
+_NAMED = re.compile(r"(?i)(?<![a-z])(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?[^\s\"',;]{6,}+[\"']?")
+_RANDOM = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}(?![A-Za-z0-9_+/-])")
 _HINTS = {
     "email": re.compile(r"(?i)mail|contact|@"), "ip": re.compile(r"(?i)\bip\b|host|server|addr"), "card": re.compile(r"(?i)card|visa|credit|carte|tarjeta"),
     "phone": re.compile(r"(?i)phone|tel|call|mobile|fax"), "secret": re.compile(r"(?i)pass|pwd|secret|token|key|auth|AKIA"),
@@ -102,6 +107,27 @@ _HINTS = {
 _OTHER = re.compile(r"(?i)version|release|\bv$|isbn|order|invoice|page|ref|no\.|#|\$|€|£|http|www")
 
 
+def numbers(text: str) -> Iterator[Span]:
+    """Every run of consecutive digit groups of a kind's size, with the brackets and the plus sign before it. Groups are
+    consecutive if only blanks, dots, brackets and hyphens lie between them; letters may not touch a run."""
+    for m in _STRETCH.finditer(text):
+        groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
+        for i, (start, _) in enumerate(groups):
+            a = start
+            while a > m.start() and start - a < 2 and text[a - 1] in "+(":
+                a -= 1
+            if a and (text[a - 1].isalpha() or text[a - 1] == "_"):
+                continue
+            n, j = 0, i
+            while j < len(groups) and (b := groups[j][1]) - a <= LENGTH:
+                n += b - groups[j][0]
+                j += 1
+                if b == len(text) or not (text[b].isalpha() or text[b] == "_"):
+                    if j - i == 4 and n <= 12:
+                        yield "ip", a, b
+                    yield from ((k, a, b) for k, (least, most) in DIGITS.items() if least <= n <= most)
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Proposed spans; one stretch of text may be proposed for several kinds."""
     out: list[tuple[str, int, int]] = []
@@ -119,8 +145,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     if "at" in text and re.search(r"[\[({]", text):
         out += [("email", *m.span()) for m in _SPELLED_MAIL.finditer(text)]
     if _DIGIT.search(text):
-        for m in _NUMBERS.finditer(text):
-            out += [(k, *m.span()) for k in ("ip", "card", "phone")]
+        out += numbers(text)
         out += [("secret", *m.span()) for m in _RANDOM.finditer(text) if _DIGIT.search(m[0])]
     if "=" in text or ":" in text:
         out += [("secret", *m.span()) for m in _NAMED.finditer(text)]
@@ -143,9 +168,19 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(s[0] == "+"), float(s[0] in "(0"), float("." in domain and domain.rpartition(".")[2].isalpha()), float("=" in s or ":" in s),
         float(bool(re.search(r"(?i)[\[({] ?at", s))), float(bool(_HINTS[kind].search(before + s[:12]))), float(bool(_OTHER.search(before))),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(any(c.islower() for c in s)), len(digits) / n,
+        *_beside(before[::-1]), *_beside(after), s.count(")"), len(parts[-1]) if parts else 0, len(parts[0]) if parts else 0,
     ]
 
 
+_NEAR = re.compile(r"[ ().-]{0,3}([0-9]+)")
+
+
+def _beside(text: str) -> tuple[float, float, float]:
+    """The digits of the group that text begins with, the characters before it, and whether a bracket or plus sign is near."""
+    m = _NEAR.match(text)
+    return float(len(m[1])) if m else 0.0, float(m.start(1)) if m else 9.0, float(text[:1] in ("(", "+", ")", ".", "-"))
+
+
 # ---- training examples
 
 def _luhn_number(r: random.Random, n: int) -> str:
@@ -189,6 +224,14 @@ def _negative(r: random.Random) -> str:
     ])()
 
 
+def _neighbour(r: random.Random) -> str:
+    """A number beside an example, with a blank between them."""
+    return r.choice([
+        lambda: _positive(r, "phone"), lambda: _positive(r, "card"), lambda: _positive(r, "ip"), lambda: str(r.randint(1, 99)), lambda: _number(r, 4),
+        lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(1, 28):02}.{r.randint(1, 12):02}.{r.randint(1990, 2030)}",
+    ])()
+
+
 _LEADS = {"email": "mail to", "ip": "host", "card": "card", "phone": "call", "secret": "key"}
 
 
@@ -201,11 +244,13 @@ def models(examples: int = EXAMPLES, precision: float = PRECISION) -> dict[str,
         kind = KINDS[i % len(KINDS)] if i % 2 else None
         s = _positive(r, kind) if kind else _negative(r)
         lead = _LEADS[kind] + " " if kind and r.random() < 0.3 else ""
-        text = f"{_word(r)} {_word(r)}{r.choice([' ', ', ', '. '])}{lead}{s}{r.choice([' ', '. ', ', '])}{_word(r)}"
-        start = text.index(s)
+        before, after = (_neighbour(r) if r.random() < 0.25 else "" for _ in range(2))
+        text = f"{_word(r)} {_word(r)}{r.choice([' ', ', ', '. '])}{lead}{before}{' ' * bool(before)}"
+        start = len(text)
+        text += f"{s}{' ' * bool(after)}{after}{r.choice([' ', '. ', ', '])}{_word(r)}"
         for k, a, b in candidates(text):
             if b > start and a < start + len(s):
-                whole = kind == k and a <= start + 1 and b >= start + len(s) - 1
+                whole = kind == k and start <= a <= start + 1 and start + len(s) - 1 <= b <= start + len(s) + (k == "secret")
                 rows[k].append((features(text, k, a, b), float(whole)))
     out = {}
     for k, own in rows.items():
@@ -223,8 +268,8 @@ def find(rows: list[str], trained: dict[str, BoostedTrees]) -> list[tuple[list[S
     for kind in KINDS:
         own = [(i, a, b) for i, k, a, b in proposed if k == kind]
         if own:
-            p = trained[kind].probability(np.array([features(rows[i], kind, a, b) for i, a, b in own]))
-            for (i, a, b), score in zip(own, p.tolist(), strict=True):
+            p = [trained[kind].probability(np.array([features(rows[i], kind, a, b) for i, a, b in part])) for part in sliced(own, SCORED)]
+            for (i, a, b), score in zip(own, np.concatenate(p).tolist(), strict=True):
                 if score >= trained[kind].threshold:
                     accepted.setdefault(i, []).append((score, (kind, a, b)))
     out = []

@@ -69,6 +69,22 @@ def test_pii(docs, empty, corpus):
     assert pii.redact("abcdef", [("email", 1, 3), ("ip", 2, 4)]) == "a<EMAIL>ef" and pii.redacted(docs).columns == docs.columns
 
 
+def test_numbers_beside_numbers_and_long_secrets():
+    trained, key = pii.models(), "aB3" * 70
+    wanted = {
+        "call 555-123-4567 555-987-6543 now": [("phone", "555-123-4567"), ("phone", "555-987-6543")],
+        "see 12 (555) 123-4567 there": [("phone", "(555) 123-4567")],
+        "on 2024-05-06 555-123-4567 as said": [("phone", "555-123-4567")],
+        "paid 378282246310005 555-123-4567 so": [("card", "378282246310005"), ("phone", "555-123-4567")],
+        "call +1 (386) 555-3733 10.233.33.4 or": [("phone", "+1 (386) 555-3733"), ("ip", "10.233.33.4")],
+        "call +1 (386) 555-3733 999.999.999 or": [("phone", "+1 (386) 555-3733")],
+        f"it is {key} here": [("secret", key)],
+    }
+    for text, want in wanted.items():
+        assert [(k, text[a:b]) for k, a, b in pii.find([text], trained)[0][1]] == want
+    assert len(list(pii.numbers("1 " * 50000))) < 50000 * 32  # in proportion to the text
+
+
 def test_boosted_trees():
     r = np.random.default_rng(0)
     x = r.normal(size=(2000, 4))
