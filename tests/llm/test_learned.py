@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -94,22 +95,58 @@ def test_boosted_trees():
     assert ((p > 0.5) == y[1500:]).mean() > 0.95 and y[1500:][p >= model.threshold].mean() >= 0.95
 
 
-def test_exact_topk(vectors):
+def best_by_brute_force(rows, k, step=20):
+    """rows: (vec_id, whole numbers); each query's k best by score and then vec_id, with Python's numbers."""
+    width, want = max(len(v) for _, v in rows), {}
+    padded = [(i, [*v, *[0] * (width - len(v))]) for i, v in rows]
+    for q, a in padded:
+        if q % step == 0:
+            found = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), v) for v, b in padded if v != q)[:k]
+            want[q] = {i + 1: (v, -s) for i, (s, v) in enumerate(found)}
+    return want
+
+
+def found_top_k(frame, **options):
     got = {}
-    for q, rank, v, s in topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=7, query_rows=5, candidate_rows=60).collect():
+    for q, rank, v, s in topk.top_k(frame, F.col("vec_id") % 20 == 0, **options).collect():
         got.setdefault(q, {})[rank] = (v, s)
-    rows = [(r["vec_id"], np.pad(np.floor(64 * np.array(r["embedding"], float)), (0, 16 - len(r["embedding"])))) for r in vectors.collect() if r["vec_id"] is not None and r["embedding"] and all(x is not None and np.isfinite(x) for x in r["embedding"])]
-    want = {}
-    for q, a in rows:
-        if q % 20 == 0:
-            best = sorted((-int(a @ b), v) for v, b in rows if v != q)[:7]
-            want[q] = {i + 1: (v, -s) for i, (s, v) in enumerate(best)}
-    assert got == want and len(got) > 10
+    return got
+
+
+def whole(embedding):
+    return [math.floor(64 * float(x)) for x in embedding]
+
+
+def test_exact_topk(vectors):
+    rows = [(r["vec_id"], whole(r["embedding"])) for r in vectors.collect() if r["vec_id"] is not None and r["embedding"] is not None and all(x is not None and math.isfinite(x) for x in r["embedding"])]
+    want = best_by_brute_force(rows, 7)
+    assert found_top_k(vectors, k=7, query_rows=5, candidate_rows=60) == want == found_top_k(vectors, k=7) and len(want) > 10
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
-    few = topk.top_k(vectors.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0).collect()
-    assert len(few) == 2
-    wide = topk.search_block(np.array([[3e7, 1.0]]), np.array([0]), np.array([[3e7, 1.0], [3e7, 2.0]]), np.array([1, 2]), 1)
-    assert wide[2][0] == 900000000000002
+    assert len(found_top_k(vectors.where("vec_id in (0, 1, 2)"))[0]) == 2
+
+
+def test_large_and_empty_vectors(spark):
+    """No vector is left out for its size: components beyond 2^24, scores beyond 2^53, empty vectors; all are exact."""
+    r = random.Random(4)
+    for size in (1.0, 3e5, 1e7, 2.5e7):
+        rows = [(i, [r.uniform(-size, size) for _ in range(6)]) for i in range(120)] + [(200, []), (220, [size, 1.0]), (221, [size, 1.0 + 1 / 64]), (222, [size])]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert found_top_k(frame, k=5, candidate_rows=50) == best_by_brute_force([(i, whole(v)) for i, v in rows], 5)
+    huge = found_top_k(spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [-1e30, 0.0]), (3, [0.0, 5.0])], "vec_id long, embedding array<float>"))
+    assert huge == {0: {1: (1, topk.LONG), 2: (3, 64 * 320), 3: (2, -topk.LONG)}}
+
+
+def test_lists_are_read_in_part_where_that_is_enough():
+    """Near copies of the query stand out at a small depth; candidates in all directions do not."""
+    r = np.random.default_rng(3)
+    for spread, least in ((0.02, 0.9), (1.0, 0.0)):
+        x = np.floor(64 * np.concatenate([c + spread * r.normal(size=(10, 64)) for c in np.eye(64) * 6] if spread < 1 else [r.normal(size=(640, 16))]))
+        lists = topk.SortedLists(x, np.float32)
+        parts, stopped = topk.search(lists, lists.stops((*topk.DEPTHS, 1.0), 5), x[:50], np.arange(50), x, np.arange(len(x)), 5)
+        assert sum(stopped.values()) == 50 and sum(n for d, n in stopped.items() if d <= 0.25) >= least * 50
+        for q, c, s in parts:
+            want = sorted((-int(x[q[0]] @ v), i) for i, v in enumerate(x) if i != q[0])[:5]
+            assert [(-b, a) for a, b in zip(c.tolist(), s.tolist(), strict=True)] == want
 
 
 @pytest.mark.parametrize("options", [{}, {"max_repeats": 1.0}, {"max_repeats": 1e6, "min_entropy": 0.6}, {"budget": 2000}])
