@@ -11,18 +11,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. A batch is cut further by bytes where an operator needs large arrays.
+#: Rows that a Python worker handles at a time. Spark cuts Arrow batches by bytes (64 MB by default); operators cut them further.
 BATCH_ROWS = 512
 
 
-def session(spark: SparkSession) -> SparkSession:
-    """Keeps Arrow batches of whole texts small, so that Python workers stay within their memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return spark
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session(spark).read.parquet(f"{sf_dir}/documents.parquet")
+def portions(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, a few at a time, so that what a worker derives from them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import checkpointed
+from foliolens.llm.common import checkpointed, portions
 from foliolens.llm.hamming import neighbour_counts
 from foliolens.llm.near_dedup import majority
 
@@ -73,7 +73,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a range in order; its last document has no successor here, so it and the first text are passed on."""
     at, before, rows = TaskContext.get().partitionId(), None, []
     first = None
-    for b in batches:
+    for b in portions(batches):
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             text = text or ""
             fp = fingerprint(text)
@@ -91,7 +91,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in portions(batches):
         rows = []
         for doc, tail, head in zip(b.column("doc_id").to_pylist(), b.column("tail").to_pylist(), b.column("following").to_pylist(), strict=True):
             rows.append((*_row(doc, tail, fingerprint(tail), head, fingerprint(head)), None, None, None))

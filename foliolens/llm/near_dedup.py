@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import broadcast_if_small, checkpointed
+from foliolens.llm.common import broadcast_if_small, checkpointed, portions
 from foliolens.llm.components import connected_components
 from foliolens.llm.hamming import links
 
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, extra: tuple[s
     """doc_id, fp (the fingerprint as a signed long) and the long columns ``extra`` for every row of docs(doc_id, text)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             fp = np.array([shingle_fingerprint(t or "", words, seed) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fp.view(np.int64)), *(b.column(c) for c in extra)], names=["doc_id", "fp", *extra])
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from foliolens.llm.common import single_threaded, texts
+from foliolens.llm.common import portions, single_threaded, texts
 from foliolens.llm.token_counts import BYTE_LETTERS, UNCOMMON
 
 GROUP_TOKENS = 1 << 21
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
             kinds = [pa.int64()] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for b in batches:
+        for b in portions(batches):
             for doc, text in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), strict=True):
                 ids = np.append(encoder.encode(text), np.uint32(end_id)).astype("<u4")
                 group.append((doc, ids))

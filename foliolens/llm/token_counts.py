@@ -22,7 +22,7 @@ from operator import mul
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from foliolens.llm.common import single_threaded, texts
+from foliolens.llm.common import portions, single_threaded, texts
 
 TABLE_ROWS = 300_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -103,7 +103,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, table_
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = piece_counter(tokenizer_path, table_rows)
-        for b in batches:
+        for b in portions(batches):
             rows = texts(b.column("text"))
             n = [counter.count(t) for t in rows]
             size = [len(t) if t.isascii() else len(t.encode()) for t in rows]
