@@ -1,23 +1,26 @@
 """Language identification by words first, backing off to ever shorter character n-grams.
 
-Training counts words and the character n-grams of words for each language. A known word scores by its smoothed log
-frequency in each language. An unseen word is cut greedily into pieces: at each place the longest known n-gram (from
-``max_gram`` characters down to one) scores by its log frequency among n-grams of its length, with a discount for each
-step down; a character that no language knows scores alike in all. The score of a text is the posterior of the best
-language under equal priors.
-
-The posterior grows with every word and says which language is likeliest, not whether any is likely. For that there is
-the evidence of a text: the median over its words of the log-likelihood of the word's pieces in the language that suits
-it best, per letter or word end; a step down and an unknown character cost what ``BACKOFF`` and ``UNKNOWN_CHARACTER`` say.
-Known words are cut into pieces too, so that training rows, by which ``least_evidence`` sets the limit, are like others.
+Training counts words and the character n-grams of words for each language. In each language on its own, a word that the
+language knows scores by its log frequency there. A word that it does not know backs off: it is cut greedily into pieces,
+at each place the longest n-gram that this language knows (from ``MAX_GRAM`` characters down to one), and scores by the
+log frequencies of the pieces among n-grams of their length, with a discount for the step from words and one for each
+step down; a character that the language has never seen costs ``UNKNOWN_CHARACTER``. The posterior of the best language,
+under equal priors, grows with every word and says which language is likeliest, not whether any is likely. For that there
+is the evidence of a text: the median over its words of the log-likelihood of the word's pieces (known words are cut
+too), per letter or word end, in the language that suits the word best. The score is the posterior times a logistic function of the
+evidence, which is one half at ``least`` and 0.98 at the median of training rows; so letter junk and languages that were not
+learned score low however long the text is.
 
 The classifier is fitted on a bounded sample of labelled rows: about ``sample_per_lang`` documents of each language,
-chosen by a hash of doc_id, and keeps the ``max_words`` and ``max_grams`` most frequent entries, so the model that every
-task receives has a fixed size bound whatever the corpus. Counting is distributed and only the bounded tables are collected.
+chosen by a hash of doc_id. A language keeps the entries that make up at least ``LEAST_SHARE`` of its own words, or of
+its own n-grams of a length, and occur twice; so a small language loses nothing to a large one, no language is left out, and a
+language's part of the model, which every task receives, has a fixed size bound whatever the corpus. Counting is
+distributed and only the bounded tables are collected.
 
 Defined results: null text, or text without a letter: ``und`` with score 0; ties go to the first language by name; rows
-with a null lang are not learned from but are predicted; with nothing to learn from every row is ``und``; repeated rows
-each give a row; a null doc_id stays null; other columns are ignored.
+with a null lang are not learned from but are predicted; with nothing to learn from every row is ``und``, and so is every row
+of an empty table, which has none; very long texts are read whole, word by word; repeated rows each give a row; a null
+doc_id stays null; other columns are ignored, but for ``lang_pred`` and ``score``, which are replaced.
 """
 
 from __future__ import annotations
@@ -32,18 +35,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import texts
+from foliolens.llm.common import checkpointed, portions, texts
 
 UNKNOWN = "und"
 SAMPLE_PER_LANG = 1500
-MAX_WORDS, MAX_GRAMS, MAX_GRAM = 60_000, 40_000, 5
-MAX_LANGS = 200
+MAX_GRAM = 5
+LEAST_SHARE, LEAST_COUNT = 1e-5, 2
 BACKOFF = math.log(0.4)
 UNKNOWN_CHARACTER = -20.0
-#: The limit of the evidence lies below this quantile of training rows, by this many times the quantile's distance from their median.
+#: The evidence at which the score is halved lies below this quantile of training rows, by this many times the quantile's distance from their median.
 LOW_SHARE, MARGIN = 0.001, 2.0
-CACHE_WORDS = 200_000
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
+#: Numbers that a worker keeps for words it has met; they are computed again when forgotten.
+CACHE = 1 << 22
 _WORD = re.compile(r"[^\W\d_]+")
 _WHOLE = re.compile(r"(?<![\d_])[^\W\d_]++(?![\d_])")
 
@@ -55,95 +58,132 @@ def grams(word: str, longest: int = MAX_GRAM) -> Iterator[str]:
             yield padded[i : i + n]
 
 
-class LanguageModel:
-    """Log frequencies: a vector for each word and n-gram, with one number for each language of ``langs`` and, last, the
-    characters that no language knows."""
+class Language:
+    """Log frequencies of the words and n-grams that one language knows; those of n-grams with the discount of their length."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], by_length: dict[str, np.ndarray]):
-        self.langs = langs
-        self.words = self._logs(words)
-        self.grams: dict[str, np.ndarray] = {}
+    def __init__(self, words: dict[str, int], by_gram: dict[str, int]):
+        self.words = _logs(words)
+        self.grams: dict[str, float] = {}
         for n in range(1, MAX_GRAM + 1):
-            self.grams |= self._logs({g: c for g, c in by_length.items() if len(g) == n})
-        self.unseen: dict[str, np.ndarray] = {}
-        self.fits: dict[str, float] = {}
-
-    def _logs(self, counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        table = np.array(list(counts.values()), np.float64) + 0.5
-        logs = np.log(table / table.sum(axis=0))
-        return dict(zip(counts, np.column_stack([logs, np.zeros(len(logs))]), strict=True))
-
-    def unseen_word(self, word: str) -> np.ndarray:
-        out = self.unseen.get(word)
-        if out is None:
-            if len(self.unseen) > CACHE_WORDS:
-                self.unseen.clear()
-            out, padded, i = np.zeros(len(self.langs) + 1), f" {word} ", 0
-            while i < len(padded):
-                for n in range(min(MAX_GRAM, len(padded) - i), 0, -1):
-                    if (known := self.grams.get(padded[i : i + n])) is not None:
-                        out = out + known
-                        out[:-1] += BACKOFF * (MAX_GRAM - n)
-                        break
-                else:
-                    out[-1] += 1
-                i += n
-            self.unseen[word] = out
+            self.grams |= {g: v + BACKOFF * (MAX_GRAM - n) for g, v in _logs({g: c for g, c in by_gram.items() if len(g) == n}).items()}
+
+    def pieces(self, padded: str) -> float:
+        """Log-likelihood of the longest known pieces of a word between blanks, with the discounts of steps down."""
+        at, end, out, known = 0, len(padded), 0.0, self.grams.get
+        while at < end:
+            to = min(at + MAX_GRAM, end)
+            while (own := known(padded[at:to])) is None:
+                to -= 1
+                if to == at:
+                    own, to = UNKNOWN_CHARACTER, at + 1
+                    break
+            out += own
+            at = to
         return out
 
-    def word_fit(self, word: str) -> float:
-        """Log-likelihood of a word's pieces, per letter or word end, in the language that suits it best."""
-        out = self.fits.get(word)
-        if out is None:
-            if len(self.fits) > CACHE_WORDS:
-                self.fits.clear()
-            pieces = self.unseen_word(word)
-            out = self.fits[word] = float(pieces[:-1].max() + pieces[-1] * UNKNOWN_CHARACTER) / (len(word) + 2)
-        return out
 
-    def evidence(self, text: str) -> float:
+def _logs(counts: dict[str, int]) -> dict[str, float]:
+    total = math.log(sum(counts.values()) or 1)
+    return {e: math.log(n) - total for e, n in counts.items()}
+
+
+class LanguageModel:
+    """Languages by name. ``least`` and ``middle`` are the evidence at which the score is halved, and that of training rows."""
+
+    def __init__(self, tables: dict[str, tuple[dict[str, int], dict[str, int]]]):
+        self.langs = sorted(tables)
+        self.known = [Language(*tables[k]) for k in self.langs]
+        self.least, self.middle = -math.inf, 0.0
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.seen = np.zeros((1024, len(self.langs) + 2))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("place", "seen")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    def word_scores(self, word: str) -> tuple[list[float], float]:
+        """The score of a word in each language; and, per letter or word end, the log-likelihood of its pieces in the
+        language that suits it best."""
+        padded = f" {word} "
+        pieces = [k.pieces(padded) for k in self.known]
+        own = [k.words[word] if word in k.words else BACKOFF + p for k, p in zip(self.known, pieces, strict=True)]
+        return own, max(pieces) / len(padded)
+
+    def _row(self, word: str) -> int:
+        """Where ``seen`` has the scores of a word, its fit, and whether it has a letter."""
+        at = len(self.place)
+        if at == len(self.seen):
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
+        if any(map(str.isalpha, word)):
+            own, fit = self.word_scores(word)
+            self.seen[at] = [*own, fit, 1.0]
+        else:
+            self.seen[at] = 0.0
+        self.place[word] = at
+        return at
+
+    def read(self, text: str) -> tuple[str, float]:
+        """The likeliest language and the score."""
+        if not self.langs:
+            return UNKNOWN, 0.0
         lowered = text.lower()
         # Letters within keys and numbers say nothing, unless there is nothing else.
         found = Counter(_WHOLE.findall(lowered) or _WORD.findall(lowered))
+        if len(self.place) * self.seen.shape[1] > CACHE:
+            self.forget()
+        place = self.place
+        rows = np.fromiter((place[w] if w in place else self._row(w) for w in found), np.int64, len(found))
+        table, n = self.seen[rows], np.fromiter(found.values(), np.float64, len(found))
+        n = n * table[:, -1]
+        words = n.sum()
+        if not words:
+            return UNKNOWN, 0.0
+        total = n @ table[:, :-2]
+        best = int(total.argmax())
+        posterior = 1 / np.exp(np.clip(total - total[best], -700, 0)).sum()
+        return self.langs[best], float(posterior * self._suits(table[:, -2], n, words))
+
+    def evidence(self, text: str) -> float:
+        """As ``read``, the median fit of the words of a text; minus infinity without a letter."""
+        lowered = text.lower()
+        found = Counter(w for w in _WHOLE.findall(lowered) or _WORD.findall(lowered) if any(map(str.isalpha, w)))
         if not found or not self.langs:
             return -math.inf
-        fits = np.array([self.word_fit(w) for w in found])
-        order = np.argsort(fits)
-        upto = np.cumsum(np.fromiter(found.values(), np.int64, len(fits))[order])
-        return float(fits[order[np.searchsorted(upto, upto[-1] / 2)]])
+        return _median(np.array([self.word_scores(w)[1] for w in found]), np.fromiter(found.values(), np.float64, len(found)), sum(found.values()))
 
-    def predict(self, text: str) -> tuple[str, float]:
-        found = Counter(_WORD.findall(text.lower()))
-        if not found or not self.langs:
-            return UNKNOWN, 0.0
-        rows = [self.words[w] if w in self.words else self.unseen_word(w) for w in found]
-        total = np.fromiter(found.values(), np.float64, len(rows)) @ np.array(rows)
-        total = total[:-1]
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
+    def _suits(self, fits: np.ndarray, n: np.ndarray, words: float) -> float:
+        if self.least == -math.inf:
+            return 1.0
+        steep = 4 / max(self.middle - self.least, 1e-9)
+        return 1 / (1 + math.exp(min(700.0, steep * (self.least - _median(fits, n, words)))))
 
 
-def _sample(docs: DataFrame, learn: Column, sample_per_lang: int) -> tuple[list[str], DataFrame | None]:
-    """The languages to learn, by name, and the rows (lang, text) to learn them from."""
+def _median(values: np.ndarray, weights: np.ndarray, total: float) -> float:
+    order = np.argsort(values)
+    return float(values[order[np.searchsorted(np.cumsum(weights[order]), total / 2)]])
+
+
+def _sample(docs: DataFrame, learn: Column, sample_per_lang: int) -> DataFrame | None:
+    """The rows (lang, text) to learn from."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return [], None
-    langs = sorted(sizes)
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_per_lang / sizes[k]))])
-    return langs, rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
+        return None
+    share = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, min(1.0, sample_per_lang / sizes[k]))])
+    return rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
 
 
-def fit(docs: DataFrame, learn: Column, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
-    """A model of the rows of docs(doc_id, text, lang) for which ``learn`` holds and text and lang are not null."""
-    langs, chosen = _sample(docs, learn, sample_per_lang)
-    if chosen is None:
-        return LanguageModel([], {}, {})
+def _counts(chosen: DataFrame) -> DataFrame:
+    """lang, size (0 for words, else the length of n-grams), entry, n."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             words: dict[str, Counter] = {}
             for lang, text in zip(b.column("lang").to_pylist(), texts(b.column("text")), strict=True):
                 words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
@@ -153,49 +193,48 @@ def fit(docs: DataFrame, learn: Column, sample_per_lang: int = SAMPLE_PER_LANG)
                 for w, n in found.items():
                     for g in grams(w):
                         pieces[g] += n
-                out += [(lang, 0, w, n) for w, n in found.items()] + [(lang, 1, g, n) for g, n in pieces.items()]
+                out += [(lang, 0, w, n) for w, n in found.items()] + [(lang, len(g), g, n) for g, n in pieces.items()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "kind", "entry", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "size", "entry", "n"])
 
-    counts = chosen.mapInArrow(count, "lang string, kind int, entry string, n long")
-    table = counts.groupBy("kind", "entry").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(langs)])
-    top = [table.where(F.col("kind") == kind).orderBy(F.desc("total"), "entry").limit(most) for kind, most in ((0, MAX_WORDS), (1, MAX_GRAMS))]
-    both = top[0].unionByName(top[1]).toArrow()
-    kinds, entries = both.column("kind").to_pylist(), both.column("entry").to_pylist()
-    numbers = np.stack([both.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1) if entries else np.empty((0, len(langs)))
-    return LanguageModel(langs, *({e: c for k, e, c in zip(kinds, entries, numbers, strict=True) if k == kind} for kind in (0, 1)))
+    return chosen.mapInArrow(count, "lang string, size int, entry string, n long").groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
 
 
-def _predictor(docs: DataFrame, model: LanguageModel) -> Column:
+def fit(docs: DataFrame, learn: Column, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
+    """A model of the rows of docs(doc_id, text, lang) for which ``learn`` holds and text and lang are not null."""
+    chosen = _sample(docs, learn, sample_per_lang)
+    if chosen is None:
+        return LanguageModel({})
+    counts = checkpointed(_counts(chosen))
+    totals = counts.groupBy("lang", "size").agg(F.greatest(F.lit(LEAST_COUNT), F.ceil(F.sum("n") * LEAST_SHARE)).alias("least"))
+    kept = counts.join(F.broadcast(totals), ["lang", "size"]).where("n >= least")  # totals: six rows for each language
+    tables: dict[str, tuple[dict[str, int], dict[str, int]]] = {}
+    for r in kept.select("lang", "size", "entry", "n").toArrow().to_batches():
+        for lang, size, entry, n in zip(*(r.column(c).to_pylist() for c in ("lang", "size", "entry", "n")), strict=True):
+            tables.setdefault(lang, ({}, {}))[size > 0][entry] = n
+    model = LanguageModel(tables)
     held = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size, whatever the corpus
-    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
-    def predicted(text: pa.Array) -> pa.Array:
-        own = held.value
-        return pa.array([dict(zip(("lang_pred", "score"), own.predict(t), strict=True)) for t in texts(text)], kind)
+    @F.arrow_udf("double")
+    def evidence(text: pa.Array) -> pa.Array:
+        return pa.array([held.value.evidence(t) for t in texts(text)], pa.float64())
 
-    return predicted("text")
+    found = chosen.select(evidence("text").alias("evidence")).where(F.col("evidence") > -math.inf)
+    low, middle = found.agg(F.percentile("evidence", F.lit(LOW_SHARE)), F.percentile("evidence", F.lit(0.5))).first()
+    if low is not None:
+        model.least, model.middle = low - MARGIN * (middle - low), middle
+    return model
 
 
-def _evidence(docs: DataFrame, model: LanguageModel) -> Column:
+def _predictor(docs: DataFrame, model: LanguageModel) -> Column:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
-    def found(text: pa.Array) -> pa.Array:
-        return pa.array([held.value.evidence(t) for t in texts(text)], pa.float64())
-
-    return found("text")
-
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def predicted(text: pa.Array) -> pa.Array:
+        rows = [held.value.read(t) for t in texts(text)]
+        return pa.StructArray.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.float64())], names=["lang_pred", "score"])
 
-def least_evidence(docs: DataFrame, learn: Column, model: LanguageModel, sample_per_lang: int = SAMPLE_PER_LANG) -> float:
-    """The limit under which a text is in no language that was learned, from the rows that ``fit`` learns from."""
-    _, chosen = _sample(docs, learn, sample_per_lang)
-    if chosen is None:
-        return -math.inf
-    found = chosen.select(_evidence(docs, model).alias("evidence")).where(F.col("evidence") > -math.inf)
-    low, middle = found.agg(F.percentile("evidence", F.lit(LOW_SHARE)), F.percentile("evidence", F.lit(0.5))).first()
-    return -math.inf if low is None else low - MARGIN * (middle - low)
+    return predicted("text")
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -204,8 +243,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select(*rest, _predictor(docs, model).alias("predicted ")).select(*rest, "`predicted `.lang_pred", "`predicted `.score")
 
 
-def identified(docs: DataFrame, model: LanguageModel, least_score: float, least: float = -math.inf) -> DataFrame:
-    """The rows of docs whose language is found with at least this score and this evidence, all columns as they are."""
+def identified(docs: DataFrame, model: LanguageModel, least_score: float) -> DataFrame:
+    """The rows of docs whose language is found with at least this score, all columns as they are."""
     p = F.col("predicted ")
-    rows = docs.select(F.struct("*").alias("row"), _predictor(docs, model).alias("predicted "), _evidence(docs, model).alias("evidence "))
-    return rows.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least_score) & (F.col("evidence ") >= least)).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), _predictor(docs, model).alias("predicted "))
+    return rows.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least_score)).select("row.*")

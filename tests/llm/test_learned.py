@@ -3,6 +3,8 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -13,17 +15,101 @@ from foliolens.llm.boosting import BoostedTrees
 from foliolens.llm.common import crc32_mod
 
 
+def plain_languages(rows):
+    """The rule of the module from the counts of all training rows, (doc_id, text, lang): a function from a text to
+    (language, score), and one to the evidence."""
+    learn = [(t, k) for d, t, k in rows if t is not None and k is not None and zlib.crc32(("" if d is None else str(d)).encode()) % 3 != 1]
+    split = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    known = {}
+    for k in sorted({k for _, k in learn}):
+        words = Counter(w for t, x in learn if x == k for w in split(t))
+        tables = [words, *(Counter() for _ in range(5))]
+        for w, n in words.items():
+            for size in range(1, 6):
+                for i in range(len(w) + 3 - size):
+                    tables[size][f" {w} "[i : i + size]] += n
+        for i, table in enumerate(tables):
+            least = max(2, math.ceil(sum(table.values()) * 1e-5))
+            kept = {e: n for e, n in table.items() if n >= least}
+            tables[i] = {e: math.log(n / sum(kept.values())) for e, n in kept.items()}
+        known[k] = tables
+
+    def pieces(tables, rest):
+        total = 0.0
+        while rest:
+            size = next((n for n in range(5, 0, -1) if len(rest) >= n and rest[:n] in tables[n]), 0)
+            total += tables[size][rest[:size]] + (5 - size) * math.log(0.4) if size else -20.0
+            rest = rest[max(size, 1) :]
+        return total
+
+    @lru_cache(None)
+    def word(w):
+        cut = {k: pieces(t, f" {w} ") for k, t in known.items()}
+        return {k: t[0].get(w, math.log(0.4) + cut[k]) for k, t in known.items()}, max(cut.values()) / (len(w) + 2)
+
+    def found(t):
+        low = t.lower()
+        return [w for w in re.findall(r"(?<![^\W_])(?<!_)[^\W\d_]+(?![\w])", low) or re.findall(r"[^\W\d_]+", low) if any(c.isalpha() for c in w)]
+
+    def evidence(t):
+        fits = sorted(word(w)[1] for w in found(t))
+        return fits[(len(fits) - 1) // 2] if fits else None
+
+    own = [e for t, _ in learn if (e := evidence(t)) is not None]
+    low, middle = np.quantile(own, 0.001), np.quantile(own, 0.5)
+    limit = low - 2 * (middle - low)
+
+    def read(t):
+        if not found(t or ""):
+            return "und", 0.0
+        total = {k: sum(word(w)[0][k] for w in found(t)) for k in known}
+        best = max(total, key=lambda k: total[k])
+        suits = 1 / (1 + math.exp(min(700, 4 / (middle - limit) * (limit - evidence(t)))))
+        return best, suits / sum(math.exp(max(-700, v - total[best])) for v in total.values())
+
+    return read
+
+
 def test_language(docs, empty, corpus):
     learn = crc32_mod("doc_id", 3) != 1
     model = language.fit(docs, learn)
-    got = language.predict(docs.select("doc_id", "text", "lang"), model).collect()
-    assert len(got) == len(corpus)
+    got = language.predict(docs.select("doc_id", "text", "lang", "score"), model).collect()
+    read = plain_languages([r[:3] for r in corpus])
+    want = sorted([(str(r[0]), r[1] or "", *read(r[1])) for r in corpus])
+    have = sorted([(str(r["doc_id"]), r["text"] or "", r["lang_pred"], r["score"]) for r in got])
+    assert [x[:3] for x in have] == [x[:3] for x in want] and np.allclose([x[3] for x in have], [x[3] for x in want])
     held = [r for r in got if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 and r["doc_id"] < 80]
     assert held and all(r["lang_pred"] == r["lang"] and 0.5 < r["score"] <= 1 for r in held)
     assert {(r["lang_pred"], r["score"]) for r in got if r["doc_id"] in (130, 131, 132, 133)} == {("und", 0.0)}
     none = language.fit(empty, learn)
     assert language.predict(empty, none).count() == 0 and {r["lang_pred"] for r in language.predict(docs.select("text"), none).collect()} == {"und"}
     assert list(language.grams("ab", 2)) == [" ", "a", "b", " ", " a", "ab", "b "]
+    assert model.read("½ ² ⅷ 12 _") == ("und", 0.0) and model.read("x" * 100000)[0] == "en"
+
+
+def test_many_and_rare_languages_are_learned(spark):
+    """Three hundred languages, one of them in four short documents beside one with many: none is left out or loses words."""
+    r = random.Random(9)
+    letters = [chr(0x61 + i) for i in range(26)] + [chr(0x3B1 + i) for i in range(17)]
+    vocabulary = {f"l{k:03}": ["".join(r.choice(own) for _ in range(5)) for _ in range(12)] for k in range(300) for own in [r.sample(letters, 8)]}
+    rows = []
+    for k, words in vocabulary.items():
+        rows += [(len(rows) + i, " ".join(r.choice(words) for _ in range(30)), k) for i in range(400 if k == "l000" else 9)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), crc32_mod("doc_id", 3) != 1)
+    assert len(model.langs) == 300
+    held = [(t, k) for d, t, k in rows if zlib.crc32(str(d).encode()) % 3 == 1]
+    assert np.mean([model.read(t)[0] == k for t, k in held]) > 0.99
+
+
+def test_back_off_decides_for_each_language():
+    """A word that one language knows is cut into pieces in the other, where the pieces and the steps down count."""
+    model = language.LanguageModel({"a": ({"tanto": 9, "pan": 1}, {" ": 5, "t": 3, "a": 4, "n": 4, "o": 2, "p": 1}), "b": ({"pan": 5, "xyz": 5}, {" ": 5, "x": 1, "y": 1, "z": 1, "p": 2, "a": 2, "n": 2, "pa": 2, "an": 2})})
+    (a, b), fit = model.word_scores("pan")
+    assert a == pytest.approx(math.log(0.1)) and b == pytest.approx(math.log(0.5))
+    (a, b), fit = model.word_scores("panx")
+    step = math.log(0.4)
+    assert b == pytest.approx(step + 2 * (math.log(5 / 14) + 4 * step) + math.log(2 / 4) + 3 * step + math.log(2 / 14) + 4 * step + math.log(1 / 14) + 4 * step)
+    assert a == pytest.approx(step + 2 * math.log(5 / 19) + math.log(1 / 19) + 2 * math.log(4 / 19) - 20 + 5 * 4 * step) and fit == pytest.approx((b - step) / 6)
 
 
 def test_quality(spark, empty):
