@@ -67,7 +67,7 @@ class BoostedTrees:
         p, order = self.probability(x), np.argsort(-raw)
         hits = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
         enough = np.nonzero(hits >= precision)[0]
-        self.threshold = max(0.5, float(p[order][enough[-1]])) if len(enough) else 1.0
+        self.threshold = float(p[order][enough[-1]]) if len(enough) else 1.0
         return self
 
     def probability(self, x: np.ndarray) -> np.ndarray:
