@@ -1,19 +1,24 @@
 """Text quality by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are rows labelled 1; unlabelled web text is the documents at large. With the class prior pi of the
+Trusted positives are rows labelled 1; unlabelled web text is the documents at large. Labels 0 are never used. With the class prior pi of the
 unlabelled text, a small network over text statistics minimises
 ``pi * R_pos(+) + max(0, R_unl(-) - pi * R_pos(-))`` (sigmoid loss, Adam, mini-batches); where the bracket turns negative
-the step goes against it, which keeps a flexible model from over-fitting the positives. The prior is estimated as the
-share of ones among labelled training rows, and a sigmoid fitted to the labelled training rows turns outputs into
-probabilities.
-
-The classifier is fitted on bounded samples, chosen by a hash of doc_id: about ``SAMPLE`` positives, ``2 * SAMPLE``
-unlabelled rows and ``SAMPLE`` labelled rows for the prior and the calibration. Executors compute the statistics; only
-those rows of about thirty numbers are collected. Scoring is one pass over all texts without a shuffle.
-
-Defined results: null text is empty and is scored like any text; with no positive labels to learn from every score is
-the prior 0.5; several labels for a document count as several rows; repeated documents each give a row; a null doc_id
-stays null; other columns are ignored; an empty table gives an empty table.
+the step goes against it, which keeps a flexible model from over-fitting the positives.
+
+The prior is estimated from positives and unlabelled text alone: a first network, trained with a prior of one half, scores
+rows that it has not seen; above any score, unlabelled text holds at least pi times the share that positives have there, so
+pi is the smallest ratio of the two shares, over thresholds that at least half of the positives pass (``LEAST_PASSING``). The
+outputs of the second network become probabilities by a sigmoid that minimises the unbiased logistic risk
+``mean_unl softplus(z) - pi * mean_pos z`` on held-back rows, which is convex and needs no negatives either.
+
+The classifier is fitted on bounded samples, chosen by a hash of doc_id: about ``SAMPLE`` labelled positives and
+``2 * SAMPLE`` unlabelled rows of the training fold (the second sample is of documents, not of labels). Executors compute the statistics; only those rows of about thirty numbers are
+collected. Scoring is one pass over all texts without a shuffle.
+
+Defined results: null text is empty and is scored like any text; very long texts are read whole; with no positive labels to
+learn from, or an empty table of documents, every score is 0.5; several labels for a document count as several rows;
+repeated documents each give a row, equal texts equal scores; a null doc_id stays null; other columns are ignored, but for
+``score`` and ``predicted``, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliolens.llm.boosting import platt
-from foliolens.llm.common import texts
+from foliolens.llm.common import portions, texts
 
 SAMPLE = 4000
+#: Thresholds that fewer of the positives pass say little about the prior.
+LEAST_PASSING = 0.5
 THRESHOLD = 0.3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -103,22 +109,55 @@ class PuNetwork:
                 out[i] += g
         return [g + 1e-5 * x for g, x in zip(out, self.w, strict=True)]
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> PuNetwork:
-        self.slope, self.shift = platt(self._forward(self._scaled(x))[1], y)
+    def calibrate(self, positives: np.ndarray, unlabelled: np.ndarray, steps: int = 60) -> PuNetwork:
+        """The sigmoid of the least unbiased logistic risk on rows that were not learned from, by damped Newton steps; a small
+        penalty holds it near the plain one where the two kinds of rows do not overlap."""
+        zp, zu = self.raw(positives), self.raw(unlabelled)
+        pull = self.prior * np.array([zp.mean(), 1.0])
+        rows, w = np.stack([zu, np.ones(len(zu))], axis=1), np.array([1.0, 0.0])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(rows @ w, -50, 50)))
+            gradient = rows.T @ p / len(rows) - pull + 1e-2 * (w - [1.0, 0.0])
+            curve = (rows * (p * (1 - p))[:, None]).T @ rows / len(rows) + 1e-2 * np.eye(2)
+            w = w - np.clip(np.linalg.solve(curve, gradient), -1, 1)
+        self.slope, self.shift = float(max(w[0], 1e-3)), float(w[1])
         return self
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return self.raw_scaled(self._scaled(x))
+
+    def raw_scaled(self, x: np.ndarray) -> np.ndarray:
+        return self._forward(x)[1]
+
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self._forward(self._scaled(x))[1] + self.shift, -50, 50)))
 
 
+def estimated_prior(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives in unlabelled rows, from the scores of both: the least ratio of the shares that pass a threshold."""
+    at = np.quantile(positives, np.linspace(0, 1 - LEAST_PASSING, 26))
+    passing = [1 - np.searchsorted(np.sort(x), at, side="left") / len(x) for x in (positives, unlabelled)]
+    return float(np.clip((passing[1] / passing[0]).min(), 0.01, 0.99))
+
+
+def learned(positives: np.ndarray, unlabelled: np.ndarray) -> PuNetwork:
+    """The calibrated network; a third of the rows is held back, for the prior and the calibration."""
+    folds = [(x[np.arange(len(x)) % 3 > 0], x[::3]) for x in (positives, unlabelled)]
+    (p, held_p), (u, held_u) = ((own if len(own) else x, held) for (own, held), x in zip(folds, (positives, unlabelled), strict=True))
+    first = PuNetwork(p, u, 0.5)
+    prior = estimated_prior(first.raw(held_p), first.raw(held_u))
+    return PuNetwork(p, u, prior).calibrate(held_p, held_u)
+
+
 def _stat_rows(rows: DataFrame) -> np.ndarray:
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([statistics(t) for t in texts(b.column("text"))], pa.list_(pa.float64())), b.column("y").cast(pa.float64())], names=["x", "y"])
+        for b in portions(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([statistics(t) for t in texts(b.column("text"))], pa.list_(pa.float64()))], names=["x"])
 
-    got = rows.select("text", "y").mapInArrow(stats, "x array<double>, y double").toArrow()
+    got = rows.select("text").mapInArrow(stats, "x array<double>").toArrow()
     x = got.column("x").combine_chunks()
-    return np.column_stack([np.asarray(x.values if isinstance(x, pa.ListArray) else x.flatten()).reshape(got.num_rows, -1), got.column("y").to_numpy()]) if got.num_rows else np.empty((0, 1))
+    table = np.asarray(x.flatten()).reshape(got.num_rows, -1) if got.num_rows else np.empty((0, 1))
+    return table[np.lexsort(table.T)] if len(table) else table  # rows come in any order, and the network must not depend on it
 
 
 def _sampled(rows: DataFrame, total: int, most: int, seed: int) -> DataFrame:
@@ -127,22 +166,12 @@ def _sampled(rows: DataFrame, total: int, most: int, seed: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> PuNetwork | None:
     """A network from docs(doc_id, text) and labels(doc_id, quality), of which only rows where ``learn`` holds are read."""
-    own = labels.where(learn & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y"))
-    sizes = own.agg(F.count("*").alias("n"), F.sum("y").alias("ones")).first()
-    ones = int(sizes["ones"] or 0)
-    if not ones:
-        return None
+    trusted = labels.where(learn & (F.col("quality") == 1)).select("doc_id")
     there = docs.where(learn).select("doc_id", "text")
-    known = own.where("y = 1").transform(_sampled, ones, sample, 1).withColumn("part", F.lit(0))
-    known = known.unionByName(own.transform(_sampled, sizes["n"], sample, 2).withColumn("part", F.lit(1)))
-    chosen = _stat_rows(there.join(known, "doc_id").select("text", (F.col("part") * 2 + F.col("y")).alias("y")))
-    unlabelled = _stat_rows(there.transform(_sampled, there.count(), 2 * sample, 3).withColumn("y", F.lit(0.0)))
-    x, code = chosen[:, :-1], chosen[:, -1]
-    if not (code == 1).any() or not len(unlabelled):
-        return None
-    network = PuNetwork(x[code == 1], unlabelled[:, :-1], float(np.clip(ones / sizes["n"], 0.01, 0.99)))
-    calibration = code >= 2
-    return network.calibrate(x[calibration], code[calibration] - 2) if calibration.any() else network
+    known = trusted.transform(_sampled, trusted.count(), sample, 1)
+    positives = _stat_rows(there.join(known, "doc_id").select("text"))
+    unlabelled = _stat_rows(there.transform(_sampled, there.count(), 2 * sample, 3))
+    return learned(positives, unlabelled) if len(positives) and len(unlabelled) else None
 
 
 def score(docs: DataFrame, network: PuNetwork | None, threshold: float = THRESHOLD) -> DataFrame:

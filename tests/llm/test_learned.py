@@ -112,7 +112,7 @@ def test_back_off_decides_for_each_language():
     assert a == pytest.approx(step + 2 * math.log(5 / 19) + math.log(1 / 19) + 2 * math.log(4 / 19) - 20 + 5 * 4 * step) and fit == pytest.approx((b - step) / 6)
 
 
-def test_quality(spark, empty):
+def quality_rows():
     r = random.Random(3)
     word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8)))
     rows, labels = [], []
@@ -121,14 +121,65 @@ def test_quality(spark, empty):
         rows.append((i, " ".join(word() for _ in range(60)) + "." if good else r.choice([" ".join([word().upper() + "!!"] * 50), " ".join(word() + "***" for _ in range(50))])))
         if i % 2 == 0 or i % 3 == 0:
             labels.append((i, int(good), 0))
+    return rows, labels
+
+
+def test_quality(spark, empty):
+    rows, labels = quality_rows()
     docs, marks = spark.createDataFrame([*rows, (None, None), (1000, "")], "doc_id long, text string"), spark.createDataFrame([*labels, (5, None, 0)], "doc_id long, quality int, toxic int")
     learn = crc32_mod("doc_id", 5) != 0
     network = quality.fit(docs, marks, learn)
-    got = {r["doc_id"]: r for r in quality.score(docs.withColumn("held_out", ~learn), network).collect()}
+    given = docs.withColumns({"held_out": ~learn, "score": F.lit("x"), "predicted": F.lit(7)})
+    got = {r["doc_id"]: r for r in quality.score(given, network).collect()}
     held = [(got[i]["score"], good) for i, good, _ in labels if got[i]["held_out"]]
     assert min(s for s, g in held if g) > max(s for s, g in held if not g)
     assert sum((s >= 0.3) == bool(g) for s, g in held) / len(held) > 0.95 and 0 <= got[1000]["score"] <= 1
     assert quality.fit(empty, marks.limit(0), learn) is None and quality.score(empty.select("doc_id", "text"), None).count() == 0
+    assert {r["score"] for r in quality.score(docs.limit(3), None).collect()} == {0.5} and {r["predicted"] for r in quality.score(docs.limit(3), None).collect()} == {1}
+    # Scores are those of the network learned in one place from the same rows, and labels 0 play no part.
+    learns = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 0
+    text = dict(rows)
+    sort = lambda x: x[np.lexsort(x.T)]
+    positives = sort(np.array([quality.statistics(text[i]) for i, good, _ in labels if good and learns(i)]))
+    unlabelled = sort(np.array([quality.statistics(t or "") for i, t in [*rows, (None, None), (1000, "")] if learns(i)]))
+    plain = quality.learned(positives, unlabelled)
+    assert 0.75 < plain.prior < 0.9  # five sixths
+    assert np.allclose([got[i]["score"] for i, _ in rows], plain.probability(np.array([quality.statistics(t) for _, t in rows])))
+    again = quality.fit(docs.repartition(3), marks.where("quality = 1"), learn)
+    assert np.allclose(again.probability(unlabelled), plain.probability(unlabelled))
+
+
+def test_risk_prior_and_calibration():
+    """The step is the gradient of the risk as written, or against it where the bracket is negative; the prior is the least
+    ratio over thresholds; the sigmoid has the least unbiased logistic risk."""
+    r = np.random.default_rng(2)
+    p, u = r.normal(1, 1, (40, 3)), np.concatenate([r.normal(1, 1, (60, 3)), r.normal(-1, 1, (60, 3))])
+    for prior in (0.3, 0.95):
+        net = quality.PuNetwork(p, u, prior, hidden=4, epochs=1)
+        xp, xu = net._scaled(p), net._scaled(u)
+
+        def risk(net=net, xp=xp, xu=xu, prior=prior):
+            loss = lambda x, sign: np.mean(1 / (1 + np.exp(sign * net.raw_scaled(x))))
+            bracket = loss(xu, -1) - prior * loss(xp, -1)
+            return (prior * loss(xp, 1) + bracket if bracket >= 0 else -bracket) + 0.5e-5 * sum((w**2).sum() for w in net.w)
+
+        for w, g in zip(net.w, net._step(xp, xu), strict=True):
+            for at in np.ndindex(w.shape):
+                old, step = w[at], 1e-5
+                w[at] = old + step
+                above = risk()
+                w[at] = old - step
+                below = risk()
+                w[at] = old
+                assert (above - below) / (2 * step) == pytest.approx(g[at], abs=1e-6)
+    a, b = r.normal(2, 1, 500), np.concatenate([r.normal(2, 1, 600), r.normal(-2, 1, 400)])
+    levels = [sorted(a)[0] + 0 * a[0]] + [np.quantile(a, q / 50) for q in range(26)]
+    want = min((b >= t).mean() / (a >= t).mean() for t in levels)
+    assert quality.estimated_prior(a, b) == pytest.approx(want) and 0.5 < want < 0.65
+    net = quality.PuNetwork(p, u, 0.5).calibrate(p, u)
+    zp, zu = net.raw(p), net.raw(u)
+    cost = lambda s, c: np.logaddexp(0, s * zu + c).mean() - 0.5 * (s * zp + c).mean() + 0.5e-2 * ((s - 1) ** 2 + c**2)
+    assert all(cost(net.slope, net.shift) <= cost(net.slope + d, net.shift + e) + 1e-9 for d in (-0.1, 0, 0.1) for e in (-0.1, 0, 0.1))
 
 
 def plain_base(t):
