@@ -9,12 +9,19 @@ Weights become documents by budgeted block permutations: the documents of a sour
 ``block_docs`` by a hash, and each pass over a source takes its blocks in another permutation. A source has
 weight * budget tokens: whole passes, then blocks of the next pass in its order until the budget is reached, the
 last block cut between documents. Blocks, not sources, are the unit of work, so a source that holds a third of all rows
-is spread over as many blocks as it needs; only sums by block and by source are ordered. The default budget is the
-smallest that takes every source at least once, so no document is lost and small sources are repeated.
+is spread over as many blocks as it needs. The default budget is the smallest that takes every source at least once, so no
+document is lost and small sources are repeated.
+
+All of this is worked out on narrow rows (source, hash, tokens), written once. Where the budget ends is found in three steps, each over
+sums that are made first: in which of ``RANGES`` ranges of the permutation, in which block, at which document. The outcome is
+one row for each source, the place where it ends, and a document is taken or not by comparing its own place with that; so
+whole texts are read once more and joined with one row for each source, never with blocks. That join is a broadcast up to
+50,000 sources and a shuffle beyond.
 
 Defined results: a null source is a source of its own; null texts and texts without words count one token, so every
-source has a weight; repeated rows are rows of their own; rows with equal doc_id and text share a block and follow each
-other; an empty table gives an empty table; other columns are kept as they are.
+source has a weight; very long texts are one document each, however many tokens they have; rows with equal doc_id and text
+(also repeated rows) have one place and are taken or left together; an empty table gives an empty table; other columns are
+kept as they are, but for those that ``mix`` adds, which replace columns of their names.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ from foliolens.llm.common import broadcast_if_small, checkpointed
 MAX_REPEATS = 1.5
 BLOCK_DOCS = 512
 HALVINGS, ROUNDS = 5, 7
+RANGES = 1024
 SPAN = 1 << 40  #: hashes are cut to this range; products with it are exact in a double
 
 
@@ -82,10 +90,48 @@ def exponent(sources: DataFrame, max_repeats: float = MAX_REPEATS, min_entropy:
     return max(least, wanted)
 
 
+def _block(key: str, blocks: str) -> Column:
+    return F.floor(F.col(key) / F.lit(float(SPAN)) * F.col(blocks))
+
+
+def _place(seed: int) -> Column:
+    """Where a block of ``_source`` stands in the permutation of its partial pass."""
+    return _hash(seed + 1, "_source", "block", "_whole")
+
+
+def _ends(narrow: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """For each source, where its partial pass ends: a row is taken if (place of its block, block, key) is before the end."""
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    own = narrow.join(broadcast_if_small(sources), same).withColumn("block", _block("_key", "_blocks"))
+    own = own.groupBy("_source", "block", "_whole", "_room").agg(F.sum("n_tokens").alias("n")).withColumn("place", _place(seed))
+    own = checkpointed(own.withColumn("range", F.floor(F.col("place") / F.lit(SPAN // RANGES))))
+
+    def reached(rows: DataFrame, *order: str) -> DataFrame:
+        """The first of the rows of each source that does not fit into what room is left, and the room before it."""
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("_source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        full = rows.withColumn("before", before).where(F.col("before") + F.col("n") > F.col("_room"))
+        first = F.min(F.struct(*order, (F.col("_room") - F.col("before")).alias("left")))
+        return full.groupBy("_source").agg(first.alias("first")).select("_source", "first.*")
+
+    ranges = own.groupBy("_source", "range", "_room").agg(F.sum("n").alias("n"))
+    at_range = reached(ranges, "range").select(F.col("_source").alias("s"), F.col("range").alias("r"), "left")
+    same_range = F.col("_source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))
+    blocks = own.join(broadcast_if_small(checkpointed(at_range)), same_range).withColumn("_room", F.col("left")).drop("s", "r", "left")
+    at_block = checkpointed(reached(blocks, "place", "block"))
+    ends = sources.join(broadcast_if_small(at_block.select(F.col("_source").alias("s"), F.col("place").alias("_end_place"), F.col("block").alias("_end_block"), "left")), F.col("_source").eqNullSafe(F.col("s")), "left").drop("s")
+
+    # The documents of the block where the budget ends, those of one key together.
+    cut = narrow.join(broadcast_if_small(ends.where("left is not null")), same).withColumn("block", _block("_key", "_blocks")).where(F.col("block") == F.col("_end_block"))
+    cut = cut.groupBy("_source", "_key", F.col("left").alias("_room")).agg(F.sum("n_tokens").alias("n"))
+    at_key = reached(cut, "_key").select(F.col("_source").alias("s"), F.col("_key").alias("_end_key"))
+    return checkpointed(ends.drop("left").join(at_key, F.col("_source").eqNullSafe(F.col("s")), "left").drop("s"))
+
+
 def _mixture(docs: DataFrame, max_repeats: float, min_entropy: float | None, budget: int | None, block_docs: int, seed: int) -> DataFrame:
-    """row (a struct of the columns of docs), n_tokens, weight, pass, block, position."""
-    docs = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), word_tokens(F.col("text")).alias("n_tokens"), _hash(seed, "doc_id", "text").alias("_key"))
-    counts = checkpointed(docs.groupBy("source").agg(F.count("*").alias("_docs"), F.sum("n_tokens").alias("tokens")))
+    """row (a struct of the columns of docs), weight, pass, block, position."""
+    key = _hash(seed, "doc_id", "text")
+    narrow = checkpointed(docs.select("source", key.alias("_key"), word_tokens(F.col("text")).alias("n_tokens")))
+    counts = checkpointed(narrow.groupBy("source").agg(F.count("*").alias("_docs"), F.sum("n_tokens").alias("tokens")))
     a = exponent(counts, max_repeats, min_entropy)
     log = F.log(F.col("tokens").cast("double"))
     ends = counts.agg(F.max(log).alias("peak"), F.min((a - 1) * log).alias("least")).first()
@@ -94,27 +140,20 @@ def _mixture(docs: DataFrame, max_repeats: float, min_entropy: float | None, bud
     weight = F.exp(a * (log - peak)) / z
     # Without a budget the source with the fewest passes gets exactly one: passes are in proportion to tokens^(a - 1).
     passes = weight * F.lit(float(budget)) / F.col("tokens") if budget is not None else F.exp((a - 1) * log - least)
-    sources = checkpointed(counts.select(F.col("source").alias("_source"), "tokens", weight.alias("weight"), F.round(passes, 9).alias("_passes"), F.ceil(F.col("_docs") / block_docs).alias("_blocks")))
-    dealt = docs.join(broadcast_if_small(sources), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    dealt = dealt.withColumn("block", F.floor(F.col("_key") / F.lit(float(SPAN)) * F.col("_blocks"))).withColumn("_whole", F.floor("_passes"))
-
-    # The blocks of the last, partial pass in its own order, and the tokens left in the budget before each.
-    blocks = dealt.groupBy("source", "block", "tokens", "_passes", "_whole").agg(F.sum("n_tokens").alias("_block_tokens"))
-    in_order = Window.partitionBy("source").orderBy(_hash(seed + 1, "source", "block", "_whole"), "block")
-    before = F.coalesce(F.sum("_block_tokens").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = F.floor((F.col("_passes") - F.col("_whole")) * F.col("tokens") + 1e-6) - before
-    blocks = checkpointed(blocks.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "_block_tokens", room.alias("_room")))
-    placed = dealt.join(broadcast_if_small(blocks), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
-
-    # A block is taken, left, or, where the budget ends within it, cut between documents.
-    cut = (F.col("_room") > 0) & (F.col("_room") < F.col("_block_tokens"))
-    keep = placed.where(~cut).withColumn("_more", (F.col("_room") >= F.col("_block_tokens")).cast("int"))
-    used = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("_key", "row.doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    partial = placed.where(cut).withColumn("_more", (used <= F.col("_room")).cast("int"))
-    rows = keep.unionByName(partial).withColumn("_times", (F.col("_whole") + F.col("_more")).cast("int")).where("_times > 0")
+    sources = counts.select(F.col("source").alias("_source"), "tokens", weight.alias("weight"), F.round(passes, 9).alias("_passes"), F.ceil(F.col("_docs") / block_docs).alias("_blocks"))
+    room = F.floor((F.col("_passes") - F.col("_whole")) * F.col("tokens") + 1e-6)
+    sources = checkpointed(sources.withColumn("_whole", F.floor("_passes")).withColumn("_room", room))
+    plan = _ends(narrow, sources, seed)
+
+    # There is room for less than all of a source in its partial pass, so each source has an end.
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), key.alias("_key"))
+    rows = rows.join(broadcast_if_small(plan), F.col("source").eqNullSafe(F.col("_source"))).withColumn("block", _block("_key", "_blocks"))
+    more = F.struct(_place(seed), "block", "_key") < F.struct("_end_place", "_end_block", "_end_key")
+    times = (F.col("_whole") + more.cast("int")).cast("int")
+    rows = rows.withColumn("_times", times).where("_times > 0")
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
     spot = (F.col("pass") + _hash(seed + 2, "source", "block", "pass") / F.lit(float(SPAN))) / F.greatest("_passes", F.lit(1e-9))
-    return rows.select("row", "n_tokens", "weight", "pass", "block", F.round(spot, 9).alias("position"))
+    return rows.select("row", "weight", "pass", "block", F.round(spot, 9).alias("position"))
 
 
 ADDED = ("n_tokens", "weight", "pass", "block", "position")
@@ -124,10 +163,11 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, min_entropy: float |
     """The rows of docs(doc_id, text, source, ...), each as often as the mixture takes it, with the columns n_tokens, weight
     (of the source), pass (from 0), block and position (the share of the source's budget that is used up before the row's
     block: ordering by it interleaves the sources by weight). These replace columns of docs with their names."""
-    rows = _mixture(docs, max_repeats, min_entropy, budget, block_docs, seed)
+    rows = _mixture(docs, max_repeats, min_entropy, budget, block_docs, seed).withColumn("n_tokens", word_tokens(F.col("row.text")))
     return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED], *ADDED)
 
 
 def repeated(docs: DataFrame, max_repeats: float = MAX_REPEATS, min_entropy: float | None = None, budget: int | None = None, block_docs: int = BLOCK_DOCS, seed: int = 5) -> DataFrame:
-    """As ``mix``, with the columns of docs only."""
-    return _mixture(docs, max_repeats, min_entropy, budget, block_docs, seed).select("row.*")
+    """As ``mix``, with the columns of docs only, in the order of position: partitions follow each other, and rows in them."""
+    rows = _mixture(docs, max_repeats, min_entropy, budget, block_docs, seed)
+    return rows.repartitionByRange("position").sortWithinPartitions("position", "pass", "block").select("row.*")

@@ -1,13 +1,16 @@
 import hashlib
+import itertools
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from foliolens.llm import language, mixing, pii, quality, topk
@@ -364,5 +367,73 @@ def test_mixing(docs, corpus, options):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(3), block_docs=4, **options).collect()))
 
 
+def spark_hash(seed, *values):
+    """Spark's xxhash64 of an int and other values, cut to the range of the module."""
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v) if not isinstance(v, np.int32) else struct.pack("<i", v), h)
+    return h % mixing.SPAN
+
+
+def plain_mixture(rows, max_repeats=mixing.MAX_REPEATS, min_entropy=None, budget=None, block_docs=mixing.BLOCK_DOCS, seed=5):
+    """(doc_id, text, source, n_tokens, pass, block) of every row that the mixture takes, worked out one row at a time."""
+    own = [(d, t, s, max(1, len(re.findall(r"[^ \t\n\x0b\f\r]+", t or ""))), spark_hash(seed, d, t)) for d, t, s in rows]
+    tokens, docs = Counter(), Counter()
+    for _, _, s, n, _ in own:
+        tokens[s] += n
+        docs[s] += 1
+    weights = lambda a: {s: n**a / sum(m**a for m in tokens.values()) for s, n in tokens.items()}
+    repeats = lambda a: max(n ** (a - 1) for n in tokens.values()) / min(n ** (a - 1) for n in tokens.values())
+
+    def bisect(low_side):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            low, high = ((low + high) / 2, high) if low_side((low + high) / 2) else (low, (low + high) / 2)
+        return low
+
+    a = 0.0 if repeats(0.0) <= max_repeats else bisect(lambda x: repeats(x) > max_repeats)
+    if min_entropy is not None:
+        reaches = lambda x: -sum(w * math.log(w) for w in weights(x).values()) >= min_entropy * math.log(max(len(tokens), 2))
+        a = max(a, 1.0 if reaches(1.0) else bisect(reaches))
+    weight, out = weights(a), []
+    least = min(n ** (a - 1) for n in tokens.values())
+    for s, n in tokens.items():
+        passes = round(weight[s] * budget / n if budget is not None else n ** (a - 1) / least, 9)
+        whole, room = math.floor(passes), math.floor((passes - math.floor(passes)) * n + 1e-6)
+        blocks = -(-docs[s] // block_docs)
+        mine = [(math.floor(k / mixing.SPAN * blocks), k, d, t, m) for d, t, q, m, k in own if q == s]
+        in_order = sorted(mine, key=lambda x: (spark_hash(seed + 1, s, x[0], whole), x[0], x[1]))
+        taken, used = set(), 0
+        for spot, same in itertools.groupby(in_order, key=lambda x: (x[0], x[1])):
+            used += sum(x[4] for x in same)
+            if used > room:
+                break
+            taken.add(spot)
+        out += [(d, t, s, m, p, b) for b, k, d, t, m in mine for p in range(whole + ((b, k) in taken))]
+    return out, weight
+
+
+@pytest.mark.parametrize("options", [{}, {"max_repeats": 1.3}, {"max_repeats": 1e6, "min_entropy": 0.6}, {"budget": 2000}, {"budget": 30000, "max_repeats": 9.0}])
+def test_mixing_matches_brute_force(docs, corpus, options):
+    got = mixing.mix(docs, block_docs=4, **options).collect()
+    want, weight = plain_mixture([(r[0], r[1], r[3]) for r in corpus], block_docs=4, **options)
+    assert Counter((r["doc_id"], r["text"], r["source"], r["n_tokens"], r["pass"], r["block"]) for r in got) == Counter(want)
+    assert all(r["weight"] == pytest.approx(weight[r["source"]], abs=1e-9) for r in got)
+
+
+def test_mixture_is_written_in_order(spark, docs):
+    """Rows follow the position of their blocks; a source that makes up most of the rows is spread over the whole."""
+    placed = mixing.mix(docs, block_docs=4).orderBy("position", "pass", "block").select("position", "doc_id", "text").collect()
+    place = {}
+    for r in placed:
+        place.setdefault((r["doc_id"], r["text"]), []).append(r["position"])
+    written = [(r["doc_id"], r["text"]) for r in mixing.repeated(docs, block_docs=4).collect()]
+    assert Counter(written) == Counter((r["doc_id"], r["text"]) for r in placed)
+    at = [min(place[x]) if len(place[x]) == 1 else None for x in written]
+    at = [x for x in at if x is not None]
+    assert at == sorted(at) and len(at) > 50
+
+
 def test_mixing_nothing(empty):
     assert mixing.mix(empty).count() == 0
