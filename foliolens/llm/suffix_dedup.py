@@ -4,7 +4,7 @@ A byte goes if a 50-byte string that covers it also starts in a document with a
 a corpus would move some fifty times the corpus; what has to be sorted is found first, in the manner of distributed
 prefix doubling:
 
-1. Documents are dealt into runs of about ``RUN_BYTES`` by a hash of doc_id. Each window of 50 bytes has an anchor, the
+1. Documents are dealt into runs of about ``RUN_BYTES`` by a hash of doc_id and text. Each window of 50 bytes has an anchor, the
    26 bytes within it of the smallest hash (leftmost on ties), so equal windows have equal anchors at equal places. Runs
    send the sorted hashes of their anchors, as differences, to the owners of hash ranges, who answer which anchors occur
    in several documents. A window whose anchor does not is unique and is done with.
@@ -18,12 +18,17 @@ prefix doubling:
 An anchor that occurs in more than ``HOT_DOCS`` documents may have as many contexts; its windows are exchanged one by one,
 dealt out by their own content, so no owner gets all of a very frequent line. Repeats within a run cost one suffix.
 
+There are as many owners as runs, so what an owner receives does not grow with the corpus: on average what a run sends, at
+most about 1.7 times ``RUN_BYTES`` compressed. A run sends nothing to owners that it has no anchor for, so messages grow in
+proportion to the corpus; as it grows they get smaller, and ``run_bytes`` should be raised with the memory there is.
+
 The places of a run's suffixes travel with them, so step 3 needs no anchors. Texts are shuffled once, by run, and that
 exchange is used by all three steps; nothing is broadcast or collected.
 
 Defined results: a null text is empty; texts under 50 bytes are kept; rows of equal doc_id neither remove from each
-other nor count as smaller; a row with a null doc_id is kept whole and removes nothing; an empty table gives an empty
-table; other columns are ignored. Removal works on bytes, so ``kept`` may begin or end within a character.
+other nor count as smaller, so repeated rows and ties lose the same bytes; a row with a null doc_id is kept whole, removes
+nothing and is not shuffled; very long texts are one document of one run; an empty table gives an empty table; other
+columns are ignored. Removal works on bytes, so ``kept`` may begin or end within a character.
 """
 
 from __future__ import annotations
@@ -42,7 +47,6 @@ from foliolens.llm.merge_sort import LoserTree, front_code, front_decode
 WINDOW, ANCHOR = 50, 26
 REACH = WINDOW - ANCHOR + 1  #: places of the anchor in a window
 RUN_BYTES = 4 << 20
-MAX_OWNERS = 512
 HOT_DOCS = 256
 CHUNK = 1 << 17  #: bytes whose hashes are held at a time, so that they stay in the cache
 CUT = b"\xff"  #: between the two parts of a suffix; no byte of UTF-8
@@ -154,7 +158,7 @@ class Run(Texts):
 
 
 def _owner_of(h: np.ndarray, owners: int) -> np.ndarray:
-    return (h >> np.uint64(24)).astype(np.int64) * owners >> 24
+    return (h >> np.uint64(16)).astype(np.int64) * owners >> 32
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -192,8 +196,8 @@ def _send_hashes(owners: int):
         run = table.column("run")[0].as_py()
         h, docs = Run(table).hashes()
         owner = _owner_of(h, owners)
-        bounds = np.searchsorted(owner, np.arange(owners + 1))
-        return _rows([(run, o, 0, _pack(_planes(np.diff(h[a:b], prepend=np.uint64(0)), 6), np.minimum(docs[a:b], 255).astype(np.uint8))) for o, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a])
+        first = np.nonzero(np.diff(owner, prepend=-1))[0].tolist()
+        return _rows([(run, int(owner[a]), 0, _pack(_planes(np.diff(h[a:b], prepend=np.uint64(0)), 6), np.minimum(docs[a:b], 255).astype(np.uint8))) for a, b in zip(first, [*first[1:], len(h)], strict=True)])
 
     return send
 
@@ -367,11 +371,15 @@ def _cut_out(docs: pa.Table, answers: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, hot_docs: int = HOT_DOCS) -> DataFrame:
     """doc_id, n_bytes, spans (the maximal removed runs of bytes) and kept (the bytes that stay) for every row of docs(doc_id, text)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    runs = max(1, -(-total // run_bytes))
-    owners = min(runs, MAX_OWNERS)
-    number = F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")
-    dealt = docs.select(number.alias("run"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    runs = owners = max(1, -(-total // run_bytes))
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(runs)).cast("int")
+    text = F.col("text").cast("binary").alias("text")
+    dealt = docs.where("doc_id is not null").select(number.alias("run"), F.col("doc_id").cast("long").alias("doc_id"), text)
     by_run = dealt.groupBy("run")
     flags = by_run.applyInArrow(_send_hashes(owners), ROWS).groupBy("owner").applyInArrow(_answer_hashes(hot_docs), ROWS)
     merged = by_run.cogroup(flags.groupBy("run")).applyInArrow(_send_suffixes(owners), ROWS).groupBy("owner").applyInArrow(_merge, ROWS)
-    return by_run.cogroup(merged.groupBy("run")).applyInArrow(_cut_out, RESULT)
+    cut = by_run.cogroup(merged.groupBy("run")).applyInArrow(_cut_out, RESULT)
+    kept = F.coalesce(F.col("text"), F.lit(b""))
+    spans = F.array().cast("array<struct<start: bigint, end: bigint>>")
+    whole = docs.where("doc_id is null").select(text).select(F.lit(None).cast("long").alias("doc_id"), F.octet_length(kept).cast("long").alias("n_bytes"), spans.alias("spans"), kept.alias("kept"))
+    return cut.unionByName(whole)
