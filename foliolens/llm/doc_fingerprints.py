@@ -4,13 +4,13 @@ The terms of a text are its pairs of adjacent words; each votes on the 64 bits o
 logarithm of its number of occurrences, so that a separator or a repeated phrase does not decide alone. Likeness of two
 fingerprints is the share of equal bits. ``hamming.neighbour_counts`` finds all fingerprints within the radius.
 
-For the edited text of a document its successor by doc_id is needed. Documents are dealt out once by ranges of doc_id,
-with the text compressed; each task walks its range in order and holds two documents at a time. The first and the last
+For the edited text of a document its successor by doc_id is needed. Documents are dealt out once by ranges of doc_id and a
+hash of the text, so that rows without a doc_id, or with one and the same, are spread as well; each task walks its range in order and holds two documents at a time. The first and the last
 document of each range, and nothing else, are paired over the borders in a second step.
 
-Defined results: a null text is empty; a text without words has fingerprint zero; the order is doc_id, then text, nulls
-first; a single document is its own successor; repeated rows follow one another; an empty table gives an empty table;
-other columns are ignored.
+Defined results: a null text is empty; a text without words has fingerprint zero; very long texts are read whole; the order
+is doc_id, nulls first, ties by the XXH64 of the text and then the text; a single document is its own successor; repeated
+rows follow one another; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,8 +101,9 @@ def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_successors(docs: DataFrame) -> DataFrame:
     """The columns of ROW for every row of docs(doc_id, text)."""
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    walked = checkpointed(dealt.mapInArrow(_walk, SCHEMA))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    dealt = rows.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
+    walked = checkpointed(dealt.select("doc_id", "text").mapInArrow(_walk, SCHEMA))
     ends = walked.where("tail is not null")
     order = ends.select("range").withColumn("next", F.lead("range").over(Window.orderBy("range")))  # one number for each range
     order = order.withColumn("next", F.coalesce("next", F.min("range").over(Window.partitionBy())))

@@ -133,7 +133,7 @@ def test_components(spark):
 
 
 def test_document_fingerprints(docs, empty, corpus, spark):
-    rows = sorted(((r[0], r[1] or "") for r in corpus), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = sorted(((r[0], r[1] or "") for r in corpus), key=lambda r: (r[0] is not None, r[0] or 0, P.signed(xxhash.xxh64_intdigest(r[1].encode(), 42)), r[1]))
     fps = [P.fingerprint(t) for _, t in rows]
     want = []
     for i, (d, t) in enumerate(rows):
@@ -177,6 +177,16 @@ def test_suffix_removal_matches_brute_force(docs, empty, corpus, run_bytes, hot)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_rows_without_or_with_one_id_are_spread(spark):
+    """Null ids remove nothing; one doc_id on many texts does not remove from itself; both over many runs."""
+    r = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(40))
+    text = lambda: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(60))
+    rows = [(i, f"{text()} {passage}") for i in (None, 7) for _ in range(40)] + [(i, f"{passage} {text()}") for i in (3, 9)] + [(None, None), (9, None), (7, "é" * 60), (8, "é" * 60)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2000, 5).collect()
+    assert sorted(((x["doc_id"], x["n_bytes"], [tuple(s) for s in x["spans"]], bytes(x["kept"])) for x in got), key=str) == sorted(brute_removal(rows), key=str)
+
+
 def test_long_texts_are_cut_alike(spark, monkeypatch):
     """Texts over the size of a chunk, in any order of arrival."""
     r = random.Random(8)
