@@ -5,8 +5,8 @@ found by the byte-position inverted index with count filtering of ``hamming.link
 for each pair of a list, pairs that reach the guaranteed minimum are kept, and the bits are verified. Documents of one
 fingerprint are one class from the start, so exact copies cost one row; components are found over the classes.
 
-Defined results: a null text is empty; a text without words has fingerprint zero and is linked like any other; rows with
-equal doc_id are rows of their own; a null doc_id gets a fingerprint and never becomes a component id unless its whole
+Defined results: a null text is empty; a text without words has fingerprint zero and is linked like any other; very long
+texts are read whole; a bit that half of the hashes have is 0; rows with equal doc_id are rows of their own; a null doc_id gets a fingerprint and never becomes a component id unless its whole
 component has none; an empty table gives an empty table; other columns are ignored.
 """
 

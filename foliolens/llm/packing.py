@@ -9,8 +9,9 @@ with room left: less than one sequence of padding is left in a group.
 Groups are made inside each task from the rows it reads, so nothing is shuffled and memory is bounded by a group and
 the longest document. Sequence ids are (partition << 32) + number, so a task that runs again gives the same ids.
 
-Defined results: a null or empty text is one token (the end token); every row of docs is packed on its own, repeated rows
-and rows of equal doc_id included; the string of the special token inside a text is that token, as the library's default
+Defined results: a null or empty text is one token (the end token); a very long text is cut over as many sequences as it
+needs; every row of docs is packed on its own, repeated rows and rows of equal or null doc_id included; ties in length keep
+the order of rows, ties in cost go to the first sequence; the string of the special token inside a text is that token, as the library's default
 has it; other columns are ignored; an empty table gives an empty table.
 """
 

@@ -11,7 +11,8 @@ order, part and reference numbers in the shape of phones and IPs, digits that fa
 files, unique ids, long words. A threshold is the lowest score above which ``PRECISION`` of held-out candidates are right.
 The work is one pass over the texts; nothing is shuffled or collected.
 
-Defined results: a null text is empty and has no spans; positions are code points, ends exclusive; repeated rows each
+Defined results: a null text is empty and has no spans; very long texts are read whole, in time in proportion to their
+length; ties in likelihood go to the span that begins first, then the longer one, then the kind named first; positions are code points, ends exclusive; repeated rows each
 give a row; a null doc_id stays null; other columns are ignored; an empty table gives an empty table.
 """
 

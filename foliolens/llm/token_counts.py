@@ -7,7 +7,8 @@ the texts. (A global table of distinct pre-tokens would need a shuffle of every
 than the corpus.) The table is emptied when it reaches ``TABLE_ROWS`` entries, which bounds memory and changes no result.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); the strings of special tokens inside a text count as
-one token each, as the library's default has it; repeated rows each give a row; a null doc_id stays null; other columns
+one token each, as the library's default has it; very long texts are counted whole; repeated rows each give a row, equal
+texts equal counts; a null doc_id stays null; other columns
 are ignored; an empty table gives an empty table with the same columns.
 """
 
