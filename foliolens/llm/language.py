@@ -46,7 +46,7 @@ UNKNOWN_CHARACTER = -20.0
 #: The evidence at which the score is halved lies below this quantile of training rows, by this many times the quantile's distance from their median.
 LOW_SHARE, MARGIN = 0.001, 2.0
 #: Numbers that a worker keeps for words it has met; they are computed again when forgotten.
-CACHE = 1 << 22
+CACHE = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 _WHOLE = re.compile(r"(?<![\d_])[^\W\d_]++(?![\d_])")
 
@@ -128,10 +128,8 @@ class LanguageModel:
         self.place[word] = at
         return at
 
-    def read(self, text: str) -> tuple[str, float]:
-        """The likeliest language and the score."""
-        if not self.langs:
-            return UNKNOWN, 0.0
+    def _words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of ``seen`` for the words of a text that have a letter, and how often each comes."""
         lowered = text.lower()
         # Letters within keys and numbers say nothing, unless there is nothing else.
         found = Counter(_WHOLE.findall(lowered) or _WORD.findall(lowered))
@@ -139,34 +137,36 @@ class LanguageModel:
             self.forget()
         place = self.place
         rows = np.fromiter((place[w] if w in place else self._row(w) for w in found), np.int64, len(found))
-        table, n = self.seen[rows], np.fromiter(found.values(), np.float64, len(found))
-        n = n * table[:, -1]
-        words = n.sum()
-        if not words:
+        table = self.seen[rows]
+        letters = table[:, -1] > 0
+        n = np.fromiter(found.values(), np.float64, len(found))
+        return (table, n) if letters.all() else (table[letters], n[letters])
+
+    def read(self, text: str) -> tuple[str, float]:
+        """The likeliest language and the score."""
+        table, n = self._words(text) if self.langs else ((), ())
+        if not len(n):
             return UNKNOWN, 0.0
         total = n @ table[:, :-2]
         best = int(total.argmax())
         posterior = 1 / np.exp(np.clip(total - total[best], -700, 0)).sum()
-        return self.langs[best], float(posterior * self._suits(table[:, -2], n, words))
+        return self.langs[best], float(posterior * self._suits(_median(table[:, -2], n)))
 
     def evidence(self, text: str) -> float:
-        """As ``read``, the median fit of the words of a text; minus infinity without a letter."""
-        lowered = text.lower()
-        found = Counter(w for w in _WHOLE.findall(lowered) or _WORD.findall(lowered) if any(map(str.isalpha, w)))
-        if not found or not self.langs:
-            return -math.inf
-        return _median(np.array([self.word_scores(w)[1] for w in found]), np.fromiter(found.values(), np.float64, len(found)), sum(found.values()))
+        """The median fit of the words of a text; minus infinity without a letter."""
+        table, n = self._words(text) if self.langs else ((), ())
+        return _median(table[:, -2], n) if len(n) else -math.inf
 
-    def _suits(self, fits: np.ndarray, n: np.ndarray, words: float) -> float:
+    def _suits(self, evidence: float) -> float:
         if self.least == -math.inf:
             return 1.0
-        steep = 4 / max(self.middle - self.least, 1e-9)
-        return 1 / (1 + math.exp(min(700.0, steep * (self.least - _median(fits, n, words)))))
+        return 1 / (1 + math.exp(min(700.0, 4 / max(self.middle - self.least, 1e-9) * (self.least - evidence))))
 
 
-def _median(values: np.ndarray, weights: np.ndarray, total: float) -> float:
+def _median(values: np.ndarray, weights: np.ndarray) -> float:
     order = np.argsort(values)
-    return float(values[order[np.searchsorted(np.cumsum(weights[order]), total / 2)]])
+    upto = np.cumsum(weights[order])
+    return float(values[order[np.searchsorted(upto, upto[-1] / 2)]])
 
 
 def _sample(docs: DataFrame, learn: Column, sample_per_lang: int) -> DataFrame | None:
