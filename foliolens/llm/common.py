@@ -11,16 +11,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python worker handles at a time. Spark cuts Arrow batches by bytes (64 MB by default); operators cut them further.
+#: Rows of one Arrow batch. Texts take room in the JVM, in the worker and in what it derives from them.
 BATCH_ROWS = 512
 
 
+def in_small_batches(docs: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """docs in a copy of its session, with all its settings but that Arrow batches have few rows; the session itself stays as it is."""
+    spark = docs.sparkSession
+    own = spark._jsparkSession.cloneSession()
+    own.conf().set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, docs._jdf.logicalPlan())
+    return DataFrame(plan, SparkSession(spark.sparkContext, own))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return in_small_batches(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def portions(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The rows of batches, a few at a time, so that what a worker derives from them stays small."""
+    """The rows of batches, a few at a time, however large the batches are."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
