@@ -6,8 +6,11 @@ struct(text, x0, y0, x1, y1) from left to right. Everything is keyed by page_id,
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,51 +49,102 @@ def line_height(words: Column) -> Column:
 
 # ---- grouping
 
-def assign_lines(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, overlap: float = OVERLAP, drift: float = DRIFT) -> np.ndarray:
+def assign_lines(x0: list[float], y0: list[float], x1: list[float], y1: list[float], overlap: float = OVERLAP, drift: float = DRIFT) -> list[int]:
     """Number of the line that each word joins, in the order in which lines are opened.
 
     Words come from top to bottom. Each goes to the open line with the largest share of vertical overlap (of the smaller
     height) above ``overlap`` in which nothing stands above or below it; the first such line on ties, else a new one.
     A line's range grows to take a word in unless it would exceed ``drift`` heights of its first word.
     """
-    n = len(x0)
-    line = np.full(n, -1)
-    top, bottom, limit = np.empty(n), np.empty(n), np.empty(n)
-    opened = 0
-    for w in np.argsort(y0, kind="stable"):
-        height = np.minimum(y1[w] - y0[w], bottom[:opened] - top[:opened])
-        common = np.minimum(y1[w], bottom[:opened]) - np.maximum(y0[w], top[:opened])
-        share = np.divide(common, height, out=np.zeros(opened), where=height > 0)
-        beside = (np.minimum(x1, x1[w]) > np.maximum(x0, x0[w])) & (line >= 0)
-        share[line[beside]] = 0.0
-        best = int(share.argmax()) if opened else -1
-        if best < 0 or share[best] <= overlap:
-            best = opened
-            top[best], bottom[best], limit[best] = y0[w], y1[w], drift * (y1[w] - y0[w])
-            opened += 1
+    line = [-1] * len(x0)
+    top: list[float] = []
+    bottom: list[float] = []
+    limit: list[float] = []
+    members: list[list[int]] = []
+    for w in sorted(range(len(y0)), key=y0.__getitem__):
+        high, low, left, right = y0[w], y1[w], x0[w], x1[w]
+        height, best, most = low - high, -1, overlap
+        for i, t in enumerate(top):
+            b = bottom[i]
+            common = (low if low < b else b) - (high if high > t else t)
+            smaller = min(height, b - t)
+            if common > 0 and smaller > 0 and common / smaller > most and not any(min(x1[m], right) > max(x0[m], left) for m in members[i]):
+                best, most = i, common / smaller
+        if best < 0:
+            best = len(top)
+            top.append(high)
+            bottom.append(low)
+            limit.append(drift * height)
+            members.append([])
         else:
-            a, b = min(top[best], y0[w]), max(bottom[best], y1[w])
-            if b - a <= limit[best]:
-                top[best], bottom[best] = a, b
+            t, b = min(top[best], high), max(bottom[best], low)
+            if b - t <= limit[best]:
+                top[best], bottom[best] = t, b
+        members[best].append(w)
         line[w] = best
     return line
 
 
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows sorted by page as tables of whole pages, with the places where pages begin and the end."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        starts = (np.nonzero(np.diff(b.column("page_id").dictionary_encode(null_encoding="encode").indices.to_numpy()))[0] + 1).tolist()
+        if held and held[-1].column("page_id")[-1].as_py() == b.column("page_id")[0].as_py() and not starts:
+            held.append(b)
+            continue
+        if held and held[-1].column("page_id")[-1].as_py() == b.column("page_id")[0].as_py():
+            yield pa.Table.from_batches([*held, b.slice(0, starts[0])]), [0, sum(h.num_rows for h in held) + starts[0]]
+            b, starts = b.slice(starts[0]), [s - starts[0] for s in starts[1:]]
+        elif held:
+            yield pa.Table.from_batches(held), [0, sum(h.num_rows for h in held)]
+        if starts:
+            yield pa.Table.from_batches([b.slice(0, starts[-1])]), [0, *starts]
+        held = [b.slice(starts[-1] if starts else 0)]
+    if held:
+        yield pa.Table.from_batches(held), [0, sum(h.num_rows for h in held)]
+
+
+def _reading_order(table: pa.Table, bounds: list[int], overlap: float, drift: float) -> tuple[list[int], list[int], list[int]]:
+    """Rows page by page, line by line and from left to right; the number of each line in its page, and where lines begin and the end."""
+    x0, y0, x1, y1 = (table.column(c).cast(pa.float64()).to_pylist() for c in ("x0", "y0", "x1", "y1"))
+    rows: list[int] = []
+    numbers: list[int] = []
+    begins: list[int] = []
+    for a, b in itertools.pairwise(bounds):
+        own = x0[a:b]
+        lines: dict[int, list[int]] = {}
+        for w, opened in enumerate(assign_lines(own, y0[a:b], x1[a:b], y1[a:b], overlap, drift)):
+            lines.setdefault(opened, []).append(w)
+        in_order = sorted(lines.items(), key=lambda line: (min(y0[a + w] for w in line[1]), line[0]))
+        for number, (_, words) in enumerate(in_order):
+            numbers.append(number)
+            begins.append(len(rows))
+            rows += [a + w for w in sorted(words, key=own.__getitem__)]
+    return rows, numbers, [*begins, len(rows)]
+
+
+def _by_page(words: DataFrame, *columns: str) -> DataFrame:
+    return words.select("page_id", "word_no", *columns).repartition("page_id").sortWithinPartitions("page_id", "word_no")
+
+
 def group_lines(words: DataFrame, overlap: float = OVERLAP, drift: float = DRIFT) -> DataFrame:
-    """page_id, line_no, pos, word_no: the place of every word. Lines go by their top, words by their left edge."""
-    kind = words.select("page_id", "word_no").schema
+    """page_id, line_no, pos, word_no: the place of every word. Lines go by their top, words by their left edge. A word
+    without a place (a null coordinate) is left out."""
 
-    def place(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("word_no", kind="stable").reset_index(drop=True)
-        page["opened"] = assign_lines(*(page[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1")), overlap, drift)
-        tops = page.groupby("opened")["y0"].min().sort_values(kind="stable")
-        page["line_no"] = page["opened"].map({line: i for i, line in enumerate(tops.index)})
-        page = page.sort_values(["line_no", "x0"], kind="stable")
-        page["pos"] = page.groupby("line_no").cumcount()
-        return page[["page_id", "line_no", "pos", "word_no"]]
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _whole_pages(batches):
+            rows, numbers, begins = _reading_order(table, bounds, overlap, drift)
+            sizes = np.diff(begins)
+            pos = np.arange(len(rows)) - np.repeat(begins[:-1], sizes)
+            ids, numbered = (table.column(c).combine_chunks().take(pa.array(rows, pa.int64())) for c in ("page_id", "word_no"))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.repeat(numbers, sizes), pa.int32()), pa.array(pos, pa.int32()), numbered], names=["page_id", "line_no", "pos", "word_no"])
 
-    schema = f"page_id {kind['page_id'].dataType.simpleString()}, line_no int, pos int, word_no {kind['word_no'].dataType.simpleString()}"
-    return words.select("page_id", "word_no", "x0", "y0", "x1", "y1").groupBy("page_id").applyInPandas(place, schema)
+    page, word = (words.schema[c].dataType.simpleString() for c in ("page_id", "word_no"))
+    placed = words.dropna(subset=["x0", "y0", "x1", "y1"])
+    return _by_page(placed, "x0", "y0", "x1", "y1").mapInArrow(place, f"page_id {page}, line_no int, pos int, word_no {word}")
 
 
 def lines_of(placed_words: DataFrame) -> DataFrame:
@@ -100,9 +154,21 @@ def lines_of(placed_words: DataFrame) -> DataFrame:
     return placed_words.groupBy("page_id", "line_no").agg(in_order.alias("words"))
 
 
-def read_lines(words: DataFrame) -> DataFrame:
-    """lines from words: grouping, then the words joined back by page and number."""
-    return lines_of(words.join(group_lines(words), ["page_id", "word_no"]))
+def read_lines(words: DataFrame, overlap: float = OVERLAP, drift: float = DRIFT) -> DataFrame:
+    """lines from words, by ``group_lines``: one exchange by page, from which whole lines come back."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _whole_pages(batches):
+            rows, numbers, begins = _reading_order(table, bounds, overlap, drift)
+            own = table.take(pa.array(rows, pa.int64())).combine_chunks()
+            fields = [own.column(c).combine_chunks() for c in ("text", "x0", "y0", "x1", "y1")]
+            listed = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.StructArray.from_arrays(fields, names=["text", "x0", "y0", "x1", "y1"]))
+            ids = table.column("page_id").combine_chunks().take(pa.array([rows[i] for i in begins[:-1]], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(numbers, pa.int32()), listed], names=["page_id", "line_no", "words"])
+
+    page = words.schema["page_id"].dataType.simpleString()
+    placed = words.dropna(subset=["x0", "y0", "x1", "y1"])
+    return _by_page(placed, "text", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).mapInArrow(read, f"page_id {page}, line_no int, words array<{WORD}>")
 
 
 # ---- cells and columns
