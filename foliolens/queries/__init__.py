@@ -1,8 +1,8 @@
 """Registered queries of the library, each with the SQL of the same result where SQL can express it."""
 
-from foliolens.queries import documents, geometry, graphs, layout, tensors, text
+from foliolens.queries import documents, geometry, graphs, layout, pages, tensors, text
 
-MODULES = (text, layout, documents, geometry, tensors, graphs)
+MODULES = (text, layout, documents, geometry, tensors, graphs, pages)
 
 
 def queries():

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliolens.functions import geometry as E
 from foliolens.operators import deformation as W
 from foliolens.operators import detection as D
+from foliolens.operators import planes as N
 from foliolens.operators import raster as P
 from foliolens.operators import recognition as R
 from foliolens.operators import scan as S
@@ -162,3 +163,19 @@ def test_filters_and_dictionary(tmp_path):
     assert G.read_dictionary(str(tmp_path / "d")) == ["a", " ", "b"]
     assert W.Thresholds().relaxed(30, 0.3).straight_px == 9 and W.Thresholds().relaxed(1, 0.3) == W.Thresholds() and math.isclose(W.Thresholds().angle, math.pi / 180)
     assert plan(O.parse(O.model_bytes([O.Node("Relu", ["x"], ["y"])], {"x": [1]}, ["y"]))).run(x=np.array([-1.0]))["y"][0] == 0
+
+
+def test_tables_of_planes(spark):
+    plane = np.zeros((8, 10), "f4")
+    plane[2:5, 3:8] = 0.9
+    rows = [(7, [8, 10], plane.reshape(-1).tolist()), (8, [8, 10], [0.0] * 80)]
+    tensors = spark.createDataFrame(rows, "k long, shape array<int>, data array<float>")
+    got = N.contours_of(tensors, 0.5, "k").collect()
+    assert [(r["k"], r["region_no"], [(p["x"], p["y"]) for p in r["polygon"]]) for r in got] == [(7, 0, [tuple(p) for p in D.contours(plane > 0.5)[0].tolist()])]
+    found, = N.regions_of(tensors, D.DetectOptions(min_area=1), "k").collect()
+    assert found["score"] == pytest.approx(0.9) and len(found["line"]) == 16 and found["angle"] is not None
+    assert N.regions_of(tensors, D.DetectOptions(min_area=9), "k").count() == 0 and N.regions_of(tensors.limit(0), key="k").count() == 0
+    flipped = {r["k"]: np.array(r["data"], "f4").reshape(r["shape"]) for r in N.map_planes(tensors, lambda a: a.T, "k").collect()}
+    assert (flipped[7] == plane.T).all() and flipped[8].shape == (10, 8)
+    path = spark.createDataFrame([(1, [2, 3], [0.1, 0.8, 0.1, 0.7, 0.2, 0.1])], "k long, shape array<int>, data array<float>")
+    assert N.texts_of(path, R.charset(["a", "b"]), "k").first()["text"] == "a"
