@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliolens.operators.raster import GeometryError, channel, resize
+from foliolens.operators.raster import GeometryError, planes_of, resize
 
 
 def charset(entries: Sequence[str]) -> list[str]:
@@ -25,8 +25,7 @@ def preprocess(bgr: np.ndarray, height: int = 48, width: int = 320) -> np.ndarra
     target = int(height * max(width / height, ratio))
     own = max(1, min(int(np.ceil(height * ratio)), target))
     out = np.zeros((1, 3, height, target), np.float32)
-    for c in range(3):
-        out[0, c, :, :own] = resize(channel(bgr, c), own, height) * 2 - 1
+    out[0, :, :, :own] = resize(planes_of(bgr), own, height) * 2 - 1
     return out
 
 

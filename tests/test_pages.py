@@ -188,3 +188,19 @@ def test_pages_are_dealt_over_tasks(spark, tmp_path):
     regions = Q._regions(spark, str(tmp_path))
     shares = [r["count"] for r in regions.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(shares) == 300 and max(shares) <= 2 * Q.PAGES_A_TASK
+
+
+def test_planes_are_sampled_together():
+    """Stacks of byte planes give what single float planes give, and pixels in boxes what they give one by one."""
+    r = np.random.default_rng(5)
+    page = r.integers(0, 256, (12, 17, 3)).astype(np.uint8)
+    x, y = r.random((4, 6)) * 19 - 1, r.random((4, 6)) * 14 - 1
+    single = [P.channel(page, c) for c in range(3)]
+    assert (P.sample(P.planes_of(page), x, y) == np.stack([P.sample(p, x, y) for p in single])).all()
+    assert (P.resize(P.planes_of(page), 9, 30) == np.stack([P.resize(p, 9, 30) for p in single])).all()
+    with pytest.raises(P.GeometryError):
+        P.sample(single[0], np.array([np.nan]), np.array([1.0]))
+    for n in range(3, 30):
+        p = np.round(r.random((n, 2)) * 20 - 4, n % 3)
+        low, high = np.array([0, 1]), np.array([12, 9])
+        assert (D.inside_box(p, low, high) == D.inside(p, *np.meshgrid(np.arange(13), np.arange(1, 10)))).all()
