@@ -88,7 +88,7 @@ def read_region(page: np.ndarray, m: Measured, recogniser: Plan, classes: list[s
         return None
 
 
-def scan_page(page: np.ndarray, detector: Plan, recogniser: Plan, classes: list[str], options: ScanOptions) -> list[dict]:
+def scan_page(page: np.ndarray, detector: Plan, recogniser: Plan | None, classes: list[str], options: ScanOptions) -> list[dict]:
     """The regions of a page [H, W, 3] of BGR bytes, read where possible."""
     given, sx, sy = D.preprocess(page, options.side_limit)
     output = detector.run(**{detector.inputs[0]: given})[detector.outputs[0]]
@@ -97,19 +97,29 @@ def scan_page(page: np.ndarray, detector: Plan, recogniser: Plan, classes: list[
     return process_regions(page, D.detect(output[0, 0], options.detector), sx, sy, recogniser, classes, options)
 
 
-def process_regions(page: np.ndarray, regions: list[tuple[np.ndarray, float]], sx: float, sy: float, recogniser: Plan, classes: list[str], options: ScanOptions) -> list[dict]:
+def process_regions(page: np.ndarray, regions: list[tuple[np.ndarray, float]], sx: float, sy: float, recogniser: Plan | None, classes: list[str], options: ScanOptions) -> list[dict]:
+    """The rows of regions, polygons as arrays; without a recogniser they are measured but not read."""
     out = []
     for i, (polygon, score) in enumerate(regions):
         row = dict.fromkeys(n for n, _ in _FIELDS) | {"region_no": i, "score": score, "level": 0, "measured": False, "text": "", "ctc_confidence": 0.0}
-        row["polygon"] = [{"x": x, "y": y} for x, y in D.rescale(polygon, sx, sy).tolist()]
+        row["polygon"] = D.rescale(polygon, sx, sy)
         if (m := measure_region(polygon, sx, sy, options)) is not None:
             row |= {"level": m.level, "measured": True, **dict(zip(("angle", "linear_bow", "curve_bow"), m.shape, strict=True)), **dict(zip(("x0", "y0", "x1", "y1"), (*m.low.tolist(), *m.high.tolist()), strict=True))}
-            if (read := read_region(page, m, recogniser, classes, options)) and read[0]:
+            if recogniser is not None and (read := read_region(page, m, recogniser, classes, options)) and read[0]:
                 row |= {"text": read[0], "ctc_confidence": read[1]}
         out.append(row)
     return out
 
 
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    """Rows of regions; the many points of their polygons never become Python objects."""
+    polygons = [r["polygon"] for r in rows]
+    points = pa.StructArray.from_arrays([pa.array(axis) for axis in np.concatenate(polygons).T], fields=list(_POINT))
+    listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, polygons)]), pa.int32()), points)
+    columns = [listed if name == "polygon" else pa.array([r[name] for r in rows], kind) for name, kind in _FIELDS]
+    return pa.RecordBatch.from_arrays(columns, schema=pa.schema(_FIELDS))
+
+
 class Engine:
     """A detector, a recogniser and a dictionary; scans DataFrames of pages."""
 
@@ -129,17 +139,19 @@ class Engine:
             own = apply_filter(own, parse_filter(filter_json))
         return cls(plan(det), plan(rec), read_dictionary(dictionary_path), own, det_hash, rec_hash)
 
-    def regions(self, pages: DataFrame) -> DataFrame:
-        """The regions of pages(page_id, width, height, image)."""
-        held = pages.sparkSession.sparkContext.broadcast((self.detector, self.recogniser, self.classes, self.options))
+    def regions(self, pages: DataFrame, read: bool = True) -> DataFrame:
+        """The regions of pages(page_id, width, height, image). Where no texts are wanted, ``read`` saves reading them: all
+        else stays the same, and texts are empty."""
+        held = pages.sparkSession.sparkContext.broadcast((self.detector, self.recogniser if read else None, self.classes, self.options))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for page_id, w, h, data in zip(*(b.column(c).to_pylist() for c in ("page_id", "width", "height", "image")), strict=True):
-                    page = np.frombuffer(data, np.uint8).reshape(h, w, 3)
-                    rows = [r | {"page_id": page_id} for r in scan_page(page, *held.value)]
-                    if rows:
-                        yield pa.RecordBatch.from_pylist(rows, pa.schema(_FIELDS))
+                rows = []
+                for page_id, w, h, data in zip(*(b.column(c).to_pylist() for c in ("page_id", "width", "height")), b.column("image"), strict=True):
+                    page = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, 3)
+                    rows += [r | {"page_id": page_id} for r in scan_page(page, *held.value)]
+                if rows:
+                    yield _batch(rows)
 
         return pages.select(F.col("page_id").cast("string").alias("page_id"), "width", "height", "image").mapInArrow(scan, REGIONS)
 

@@ -204,3 +204,13 @@ def test_planes_are_sampled_together():
         p = np.round(r.random((n, 2)) * 20 - 4, n % 3)
         low, high = np.array([0, 1]), np.array([12, 9])
         assert (D.inside_box(p, low, high) == D.inside(p, *np.meshgrid(np.arange(13), np.arange(1, 10)))).all()
+
+
+def test_places_and_levels_need_no_texts(spark, tmp_path):
+    """What is wanted without texts is found without a recogniser, and is what a whole scan finds."""
+    spark.range(9).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    whole, unread = (Q._regions(spark, str(tmp_path), read).drop("text", "ctc_confidence") for read in (True, False))
+    assert unread.orderBy("page_id", "region_no").collect() == whole.orderBy("page_id", "region_no").collect()
+    assert unread.count() == 18
+    engine = Q._engine()
+    assert S.process_regions(np.zeros((40, 60, 3), np.uint8), [(SQUARE, 0.9)], 1, 1, None, engine.classes, engine.options)[0]["measured"]
