@@ -100,9 +100,12 @@ def first_of_each(docs: DataFrame, roots: DataFrame) -> DataFrame:
     a doc_id stay only in components without ids, one in each."""
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     kept = roots.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.id").alias("_id"), F.col("first.key").alias("_key"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
-    rows = rows.join(broadcast_if_small(checkpointed(kept)), (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))
-    in_order = Window.partitionBy("root").orderBy("row.text")
+    # Joined and numbered by the same columns, so rows with their texts are exchanged once.
+    at = lambda i: (F.coalesce(i, F.lit(0).cast("long")).alias("_id"), i.isNull().alias("_none"))
+    kept = checkpointed(kept.select("_key", *at(F.col("_id"))))
+    rows = docs.select(F.struct("*").alias("row"), text_key().alias("_key"), *at(F.col("doc_id").cast("long")))
+    rows = rows.join(broadcast_if_small(kept), ["_key", "_id", "_none"])
+    in_order = Window.partitionBy("_key", "_id", "_none").orderBy("row.text")
     return rows.withColumn("number", F.row_number().over(in_order)).where("number = 1").select("row.*")
 
 

@@ -1,11 +1,14 @@
-"""Near-duplicate components by Jaccard similarity of word shingles: MinHash bands propose, exact sets decide.
+"""Near-duplicate components by Jaccard similarity of word shingles: SimHash components and MinHash bands propose, exact
+sets decide.
 
 A text's set holds the 64-bit hashes of its word shingles (XXH64, as in ``near_dedup``; a text of fewer words is one
-shingle). Of ``BANDS`` * ``BAND_ROWS`` minimum hashes, each run of ``BAND_ROWS`` makes a band; two texts are compared if
-they share a band, which a pair of similarity s does with probability 1 - (1 - s^6)^32: 0.99994 at 0.8, and 0.002 at 0.2.
+shingle). Their majority vote is the text's fingerprint; fingerprints are linked by ``near_dedup``'s byte-position inverted
+index with count filtering, and texts of one component are compared. At the limits used here most similar texts differ in
+more bits than positional bytes can guarantee, so MinHash proposes as well: of ``BANDS`` * ``BAND_ROWS`` minimum hashes, each run of ``BAND_ROWS`` makes a band; two texts are compared if
+they share a band too, which a pair of similarity s does with probability 1 - (1 - s^6)^32: 0.99994 at 0.8, and 0.002 at 0.2.
 Compared texts are linked if the exact Jaccard similarity of their sets reaches the limit; no estimate decides.
 
-Equal texts are one class from the start. Classes that share bands, directly or through others, form a cluster; the sets
+Equal texts are one class from the start. Classes that share bands or SimHash components, directly or through others, form a cluster; the sets
 of a cluster are shipped once (in parts of ``PART`` shingles, where each pair of parts is compared in a task of its own),
 so neither a hot band nor a large group of near copies is written once for each pair. Classes already linked are not
 compared again: a group of near copies costs about one comparison a member.
@@ -29,9 +32,11 @@ from pyspark.sql import functions as F
 
 from foliolens.llm.common import broadcast_if_small, checkpointed, portions
 from foliolens.llm.components import connected_components
-from foliolens.llm.near_dedup import first_of_each, text_key
+from foliolens.llm.near_dedup import components, first_of_each, majority, text_key
 
 BANDS, BAND_ROWS = 32, 6
+#: Fingerprints of at most so many differing bits are linked; the index takes no more.
+RADIUS = 4
 PART = 1 << 20
 #: Shingles hashed at a time; bounds memory on very long texts.
 CHUNK = 1 << 12
@@ -74,7 +79,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def linked_pairs(found: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs that connect what all similar pairs with a common band (rows of ``found``) connect."""
+    """Pairs that connect what all similar pairs with a common proposal (columns of ``found``) connect."""
     parent = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -118,46 +123,52 @@ def linked_pairs(found: np.ndarray, sets: list[np.ndarray], similarity: float) -
 
 
 def _banded(docs: DataFrame, words: int) -> DataFrame:
-    """key, id, size (of the shingle set) and bands for every row of docs(doc_id, text)."""
+    """key, id, size (of the shingle set), fp (its fingerprint as a signed long) and bands for every row of docs(doc_id, text)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
-            size, own = [], []
+            size, fp, own = [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t or "", words)
                 size.append(len(s))
+                fp.append(majority(s))
                 own.append(bands(s))
             flat = pa.array(np.concatenate(own) if own else np.empty(0, np.int64))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS), flat)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(size, pa.int64()), listed], names=["key", "id", "size", "bands"])
+            signed = pa.array(np.array(fp, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(size, pa.int64()), signed, listed], names=["key", "id", "size", "fp", "bands"])
 
     rows = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("id"), "text")
-    return rows.mapInArrow(found, "key long, id long, size long, bands array<long>")
+    return rows.mapInArrow(found, "key long, id long, size long, fp long, bands array<long>")
 
 
 def _similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
     """Edges a, b between keys that connect what all similar pairs connect."""
-    listed = classes.select("key", F.posexplode("bands").alias("k", "v"))
+    fps = classes.select(F.lit(None).cast("long").alias("doc_id"), "fp")
+    near = components(fps, RADIUS).select("fp", F.col("root").alias("near"))
+    sized = checkpointed(classes.select("key", "size", "fp").join(near, "fp").select("key", "size", "near"))
+    listed = classes.select("key", F.posexplode("bands").alias("k", "v")).unionByName(sized.select("key", F.lit(BANDS).alias("k"), F.col("near").alias("v")))
     hubs = listed.groupBy("k", "v").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
     clusters = checkpointed(connected_components(listed.join(hubs, ["k", "v"]).where("key <> b").select(F.col("key").alias("a"), "b").distinct()))
-    members = classes.select("key", "size").join(clusters, F.col("key") == F.col("node")).select("key", "root", "size")
+    members = sized.join(clusters, F.col("key") == F.col("node")).select("key", "root", "size", "near")
     parts = members.groupBy("root").agg(F.ceil(F.sum("size") / F.lit(PART)).cast("int").alias("parts"))
-    members = checkpointed(members.join(parts, "root").select("key", "root", "parts", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part")))
+    members = checkpointed(members.join(parts, "root").select("key", "root", "near", "parts", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
             sets = [shingle_set(t or "", words) for t in b.column("text").to_pylist()]
-            rest = {c: b.column(c) for c in ("key", "root", "parts", "part")}
+            rest = {c: b.column(c) for c in ("key", "root", "near", "parts", "part")}
             yield pa.RecordBatch.from_arrays([*rest.values(), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*rest, "shingles"])
 
     texts = docs.select(text_key().alias("key"), "text").join(broadcast_if_small(members), "key").dropDuplicates(["key"])
-    rows = texts.select("key", "root", "parts", "part", "text").mapInArrow(hashed, "key long, root long, parts int, part int, shingles binary")
+    rows = texts.select("key", "root", "near", "parts", "part", "text").mapInArrow(hashed, "key long, root long, near long, parts int, part int, shingles binary")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key", "shingles")
+    rows = rows.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key", "near", "shingles")
 
     def compared(group: pa.Table) -> pa.Table:
         keys, sets = group.column("key").to_pylist(), [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-        pairs = linked_pairs(np.array([bands(s) for s in sets]), sets, similarity) if len(keys) > 1 else []
+        proposed = (np.array([*bands(s), near]) for s, near in zip(sets, group.column("near").to_pylist(), strict=True))
+        pairs = linked_pairs(np.array(list(proposed)), sets, similarity) if len(keys) > 1 else []
         return pa.table({"a": pa.array([keys[x] for x, _ in pairs], pa.int64()), "b": pa.array([keys[y] for _, y in pairs], pa.int64())})
 
     return rows.groupBy("root", "i", "j").applyInArrow(compared, "a long, b long")
@@ -167,7 +178,7 @@ def one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """The rows of docs(doc_id, text, ...) that stay when one row is kept of every component of texts that are linked at
     this similarity."""
     rows = checkpointed(_banded(docs, words))
-    classes = checkpointed(rows.groupBy("key").agg(F.first("size").alias("size"), F.first("bands").alias("bands")))
+    classes = checkpointed(rows.groupBy("key").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     nodes = checkpointed(connected_components(_similar_links(docs, classes, words, similarity)))
     ids = rows.select("key", "id").join(broadcast_if_small(nodes), F.col("key") == F.col("node"), "left")
     return first_of_each(docs, ids.select("key", "id", F.coalesce("root", "key").alias("root")))

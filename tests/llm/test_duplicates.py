@@ -205,3 +205,22 @@ def test_loser_tree():
     for (_, a, _), (h, b, _) in zip(got, got[1:], strict=False):
         assert h == merge_sort.shared_prefix(a, b)
     assert list(merge_sort.LoserTree([])) == [] and list(merge_sort.LoserTree([iter([(0, b"a")])])) == [(0, b"a", 0)]
+
+
+def test_similar_texts_go_through_the_byte_position_index(spark, monkeypatch):
+    """Texts that share no band are compared all the same if the index links their fingerprints."""
+    r = random.Random(1)
+    rows = []
+    for i in range(6):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(1500)]
+        rows += [(10 * i + j, " ".join([*base[: 300 * j], f"v{i}x{j}", *base[300 * j + 1 :]])) for j in range(4)]
+    fps = {d: near_dedup.majority(similar.shingle_set(t)) for d, t in rows}
+    linked = lambda i, j: (fps[rows[i][0]] ^ fps[rows[j][0]]).bit_count() <= similar.RADIUS
+    root = roots(len(rows), linked)
+    want = [rows[k][0] for k in sorted(set(root))]
+    assert len(want) < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {d for d, _ in similar.one_of_similar(docs).collect()} == {0, 10, 20, 30, 40, 50}
+    unlike = lambda s: np.arange(similar.BANDS) + int(s[0] >> np.uint64(8))
+    monkeypatch.setattr(similar, "bands", unlike)
+    assert sorted(d for d, _ in similar.one_of_similar(docs).collect()) == want
