@@ -18,6 +18,11 @@ def parse_money(s: Column) -> Column:
     return F.when(whole != "", F.when(F.startswith(whole, F.lit("-")), -total).otherwise(total))
 
 
+def has_amount(s: Column) -> Column:
+    """Whether an amount stands in a text, also one whose cents do not fit a BIGINT; null for a null text."""
+    return F.rlike(s, F.lit(AMOUNT))
+
+
 def thousands(v: Column) -> Column:
     """A whole number with dots between thousands."""
     return F.translate(F.format_number(v, 0), ",", ".")

@@ -38,3 +38,13 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).limit(5).count() == 5 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_free_text_of_any_amount(spark, sql, tmp_path):
+    """Runs of digits whose cents do not fit a BIGINT, and null and empty texts, against the SQL."""
+    texts = [None, "", "none", "5", "-7 R$", "9" * 16, "92233720368547759", "password=x99895542219563132x", "9" * 25, "a,b ٣", "R$ 1.234,56"]
+    made = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(made)
+    build, statement = own.queries()["free_text_ids"], own.oracle_sql()["free_text_ids"]
+    want = sql.sql(f"WITH documents AS (SELECT * FROM '{made}/*.parquet') {statement}").df()
+    assert normal(build(spark, str(tmp_path)).toPandas()).equals(normal(want))
