@@ -1,14 +1,14 @@
-"""Near-duplicate components by Jaccard similarity of word shingles: SimHash components and MinHash bands propose, exact
-sets decide.
+"""Near-duplicate components by Jaccard similarity of word shingles: SimHash links and MinHash bands propose, exact sets
+decide.
 
 A text's set holds the 64-bit hashes of its word shingles (XXH64, as in ``near_dedup``; a text of fewer words is one
-shingle). Their majority vote is the text's fingerprint; fingerprints are linked by ``near_dedup``'s byte-position inverted
-index with count filtering, and texts of one component are compared. At the limits used here most similar texts differ in
+shingle). Their majority vote is the text's fingerprint; fingerprints are linked by the byte-position inverted index
+with count filtering of ``hamming.links``, and texts that it links are compared. At the limits used here most similar texts differ in
 more bits than positional bytes can guarantee, so MinHash proposes as well: of ``BANDS`` * ``BAND_ROWS`` minimum hashes, each run of ``BAND_ROWS`` makes a band; two texts are compared if
 they share a band too, which a pair of similarity s does with probability 1 - (1 - s^6)^32: 0.99994 at 0.8, and 0.002 at 0.2.
 Compared texts are linked if the exact Jaccard similarity of their sets reaches the limit; no estimate decides.
 
-Equal texts are one class from the start. Classes that share bands or SimHash components, directly or through others, form a cluster; the sets
+Equal texts are one class from the start. Classes that share bands or are linked, directly or through others, form a cluster; the sets
 of a cluster are shipped once (in parts of ``PART`` shingles, where each pair of parts is compared in a task of its own),
 so neither a hot band nor a large group of near copies is written once for each pair. Classes already linked are not
 compared again: a group of near copies costs about one comparison a member.
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from foliolens.llm.common import broadcast_if_small, checkpointed, portions
 from foliolens.llm.components import connected_components
-from foliolens.llm.near_dedup import components, first_of_each, majority, text_key
+from foliolens.llm.hamming import byte_keys, links
+from foliolens.llm.near_dedup import first_of_each, majority, text_key
 
 BANDS, BAND_ROWS = 32, 6
 #: Fingerprints of at most so many differing bits are linked; the index takes no more.
@@ -73,6 +74,12 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return ((least >> np.uint64(16)).reshape(BANDS, BAND_ROWS) * mix).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def positional(fp: int) -> np.ndarray:
+    """The keys of a fingerprint in the byte-position index, as signed values: fingerprints within ``RADIUS`` share one."""
+    keys, _ = byte_keys(RADIUS, 0)
+    return np.array([sum((fp >> at & (1 << bits) - 1) << 8 * i for i, (at, bits) in enumerate(key)) for key in keys], np.int64)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
@@ -144,31 +151,33 @@ def _banded(docs: DataFrame, words: int) -> DataFrame:
 
 def _similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
     """Edges a, b between keys that connect what all similar pairs connect."""
-    fps = classes.select(F.lit(None).cast("long").alias("doc_id"), "fp")
-    near = components(fps, RADIUS).select("fp", F.col("root").alias("near"))
-    sized = checkpointed(classes.select("key", "size", "fp").join(near, "fp").select("key", "size", "near"))
-    listed = classes.select("key", F.posexplode("bands").alias("k", "v")).unionByName(sized.select("key", F.lit(BANDS).alias("k"), F.col("near").alias("v")))
+    listed = classes.select("key", F.posexplode("bands").alias("k", "v"))
     hubs = listed.groupBy("k", "v").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1")
-    clusters = checkpointed(connected_components(listed.join(hubs, ["k", "v"]).where("key <> b").select(F.col("key").alias("a"), "b").distinct()))
-    members = sized.join(clusters, F.col("key") == F.col("node")).select("key", "root", "size", "near")
+    banded = listed.join(hubs, ["k", "v"]).where("key <> b").select(F.col("key").alias("a"), "b")
+    # Linked fingerprints are nodes beside their texts; texts of one fingerprint meet there too.
+    fps = checkpointed(classes.groupBy("fp").agg(F.count("*").alias("n")))
+    near = checkpointed(links(fps, RADIUS))
+    met = fps.where("n > 1").select("fp").unionByName(near.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    owned = classes.select("key", "fp").join(broadcast_if_small(met), "fp").select(F.col("key").alias("a"), F.col("fp").alias("b"))
+    clusters = checkpointed(connected_components(banded.unionByName(owned).unionByName(near).distinct()))
+    members = classes.select("key", "size").join(clusters, F.col("key") == F.col("node")).select("key", "root", "size")
     parts = members.groupBy("root").agg(F.ceil(F.sum("size") / F.lit(PART)).cast("int").alias("parts"))
-    members = checkpointed(members.join(parts, "root").select("key", "root", "near", "parts", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part")))
+    members = checkpointed(members.join(parts, "root").select("key", "root", "parts", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
             sets = [shingle_set(t or "", words) for t in b.column("text").to_pylist()]
-            rest = {c: b.column(c) for c in ("key", "root", "near", "parts", "part")}
+            rest = {c: b.column(c) for c in ("key", "root", "parts", "part")}
             yield pa.RecordBatch.from_arrays([*rest.values(), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*rest, "shingles"])
 
     texts = docs.select(text_key().alias("key"), "text").join(broadcast_if_small(members), "key").dropDuplicates(["key"])
-    rows = texts.select("key", "root", "near", "parts", "part", "text").mapInArrow(hashed, "key long, root long, near long, parts int, part int, shingles binary")
+    rows = texts.select("key", "root", "parts", "part", "text").mapInArrow(hashed, "key long, root long, parts int, part int, shingles binary")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key", "near", "shingles")
+    rows = rows.select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key", "shingles")
 
     def compared(group: pa.Table) -> pa.Table:
         keys, sets = group.column("key").to_pylist(), [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-        proposed = (np.array([*bands(s), near]) for s, near in zip(sets, group.column("near").to_pylist(), strict=True))
-        pairs = linked_pairs(np.array(list(proposed)), sets, similarity) if len(keys) > 1 else []
+        pairs = linked_pairs(np.array([np.concatenate([bands(s), positional(majority(s))]) for s in sets]), sets, similarity) if len(keys) > 1 else []
         return pa.table({"a": pa.array([keys[x] for x, _ in pairs], pa.int64()), "b": pa.array([keys[y] for _, y in pairs], pa.int64())})
 
     return rows.groupBy("root", "i", "j").applyInArrow(compared, "a long, b long")
