@@ -90,6 +90,17 @@ def test_language(docs, empty, corpus):
     assert model.read("½ ² ⅷ 12 _") == ("und", 0.0) and model.read("x" * 100000)[0] == "en"
 
 
+def test_no_text_is_read_twice_in_a_task(spark, docs):
+    """A second Python node in a plan reads all texts again, and keeps a second worker with a model for each core."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    language.fit(docs, crc32_mod("doc_id", 3) != 1)
+    runs = store.executionsList(before, 1000)
+    nodes = [store.planGraph(runs.apply(i).executionId()).allNodes() for i in range(runs.size())]
+    read = [sum(n.apply(k).name().startswith("ArrowEvalPython") for k in range(n.size())) for n in nodes]
+    assert max(read) == 1
+
+
 def test_many_and_rare_languages_are_learned(spark):
     """Three hundred languages, one of them in four short documents beside one with many: none is left out or loses words."""
     r = random.Random(9)
