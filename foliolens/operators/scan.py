@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens.operators import deformation as W
@@ -120,6 +120,18 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=pa.schema(_FIELDS))
 
 
+#: Pages of one Arrow batch. Their pixels take room in the JVM and in the worker, and larger batches cross more slowly.
+PAGES_A_BATCH = 16
+
+
+def _in_small_batches(pages: DataFrame) -> DataFrame:
+    """pages in a copy of its session, with all its settings but the rows of an Arrow batch; the session itself stays as it is."""
+    spark = pages.sparkSession
+    own = spark._jsparkSession.cloneSession()
+    own.conf().set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES_A_BATCH))
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, pages._jdf.logicalPlan()), SparkSession(spark.sparkContext, own))
+
+
 class Engine:
     """A detector, a recogniser and a dictionary; scans DataFrames of pages."""
 
@@ -153,7 +165,7 @@ class Engine:
                 if rows:
                     yield _batch(rows)
 
-        return pages.select(F.col("page_id").cast("string").alias("page_id"), "width", "height", "image").mapInArrow(scan, REGIONS)
+        return _in_small_batches(pages).select(F.col("page_id").cast("string").alias("page_id"), "width", "height", "image").mapInArrow(scan, REGIONS)
 
     def page_levels(self, regions: DataFrame) -> DataFrame:
         """page_id, page_level: the highest level of its measured regions under the absolute thresholds."""

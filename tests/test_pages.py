@@ -214,3 +214,62 @@ def test_places_and_levels_need_no_texts(spark, tmp_path):
     assert unread.count() == 18
     engine = Q._engine()
     assert S.process_regions(np.zeros((40, 60, 3), np.uint8), [(SQUARE, 0.9)], 1, 1, None, engine.classes, engine.options)[0]["measured"]
+
+
+def test_many_pages_share_tasks_in_small_batches(spark):
+    """Tasks and batches follow the pages: few pages fill the cores, many pages do not make thousands of tasks, and no batch holds a task's pages at once."""
+    cores = spark.sparkContext.defaultParallelism
+    assert [Q._dealt(spark.range(n)).rdd.getNumPartitions() for n in (0, 1, 150, 100_000)] == [1, 1, 3, max(391, Q.TASKS_A_CORE * cores)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def sizes(batches):
+        for b in batches:
+            yield type(b).from_pydict({"n": [b.num_rows]})
+
+    own = S._in_small_batches(spark.range(100).coalesce(1))
+    assert sorted(r["n"] for r in own.mapInArrow(sizes, "n long").collect()) == [100 % S.PAGES_A_BATCH, *[S.PAGES_A_BATCH] * (100 // S.PAGES_A_BATCH)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_upright_grids_are_sampled_as_any_points():
+    r = np.random.default_rng(8)
+    page = P.planes_of(r.integers(0, 256, (20, 31, 3)).astype(np.uint8))
+    for plane in (page, P.channel(np.moveaxis(page, 0, -1), 1), page[2].astype(float)):
+        for wide, high in ((1, 1), (7, 3), (40, 26)):
+            x, y = np.meshgrid(np.sort(r.random(wide)) * 36 - 3, np.sort(r.random(high)) * 25 - 3)
+            assert (P.sample(plane, x, y).reshape(*plane.shape[:-2], -1) == P.sample(plane, x.ravel(), y.ravel())).all()
+    given = P.channel(np.moveaxis(page, 0, -1), 0)
+    kept = given.copy()
+    P.resize(given, 31, 20)[:] = 5  # a new array, also where the size stays
+    assert (given == kept).all()
+
+
+def test_contours_follow_rows_as_single_steps():
+    """Long rows are passed at once and only the box of set pixels is read; every vertex stays."""
+
+    def stepped(bitmap, x, y):
+        h, w = bitmap.shape
+        on = lambda x, y: 0 <= x < w and 0 <= y < h and bitmap[y, x]
+        here, came, path = (x, y), 0, [(x, y)]
+        while True:
+            ways = [(d, (here[0] + D.STEPS[d][0], here[1] + D.STEPS[d][1])) for d in ((came + k) % 8 for k in range(1, 9))]
+            turn, there = next(((d, p) for d, p in ways if on(*p)), (8, here))
+            if turn == 8:
+                return path
+            here, came = there, turn ^ 4
+            if here == (x, y):
+                return path
+            path.append(here)
+
+    r = np.random.default_rng(4)
+    for k in range(120):
+        bitmap = np.zeros((14, 40), bool) if k % 2 else r.random((14, 40)) < 0.4
+        for x, y, w, h in zip(r.integers(0, 36, 4), r.integers(0, 13, 4), r.integers(1, 30, 4), r.integers(1, 5, 4), strict=True):
+            bitmap[y : y + h, x : x + w] = True
+        labels, count = D.components(bitmap)
+        found = D.contours(bitmap)
+        assert len(found) == count
+        for n, c in enumerate(found, 1):
+            y, x = np.argwhere(labels == n)[0]
+            assert c.tolist() == [list(map(float, p)) for p in stepped(bitmap, x, y)]
+    assert D.contours(np.zeros((3, 4), bool)) == [] and D.components(np.zeros((3, 4), bool))[1] == 0
