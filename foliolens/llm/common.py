@@ -15,13 +15,22 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
-def in_small_batches(docs: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """docs in a copy of its session, with all its settings but that Arrow batches have few rows; the session itself stays as it is."""
-    spark = docs.sparkSession
+def in_session(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """The plan of df in another session, by whose settings it runs."""
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, df._jdf.logicalPlan()), spark)
+
+
+def in_copy(df: DataFrame, setting: str, value: str) -> DataFrame:
+    """df in a copy of its session, with all its settings but this one; the session itself stays as it is."""
+    spark = df.sparkSession
     own = spark._jsparkSession.cloneSession()
-    own.conf().set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, docs._jdf.logicalPlan())
-    return DataFrame(plan, SparkSession(spark.sparkContext, own))
+    own.conf().set(setting, value)
+    return in_session(df, SparkSession(spark.sparkContext, own))
+
+
+def in_small_batches(docs: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """docs in a copy of its session in which Arrow batches have few rows."""
+    return in_copy(docs, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +62,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpointed_and_cleared(df: DataFrame) -> DataFrame:
+    """As checkpointed, and the files that df was shuffled through are removed then, not only when the driver collects
+    garbage: for exchanges of whole texts, which would take disk beside all that follows."""
+    own = checkpointed(in_copy(df, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"))
+    return in_session(own, df.sparkSession)
+
+
 def broadcast_if_small(df: DataFrame, most: int = 50_000) -> DataFrame:
     """df marked for a broadcast if it has at most so many rows, else as it is, for a shuffled join. df should be cheap to count."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

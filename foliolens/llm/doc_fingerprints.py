@@ -6,7 +6,8 @@ fingerprints is the share of equal bits. ``hamming.neighbour_counts`` finds all
 
 For the edited text of a document its successor by doc_id is needed. Documents are dealt out once by ranges of doc_id and a
 hash of the text, so that rows without a doc_id, or with one and the same, are spread as well; each task walks its range in order and holds two documents at a time. The first and the last
-document of each range, and nothing else, are paired over the borders in a second step.
+document of each range, and nothing else, are paired over the borders in a second step. What the texts were exchanged
+through is removed from disk as soon as the walk is written.
 
 Defined results: a null text is empty; a text without words has fingerprint zero; very long texts are read whole; the order
 is doc_id, nulls first, ties by the XXH64 of the text and then the text; a single document is its own successor; repeated
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import checkpointed, portions
+from foliolens.llm.common import checkpointed, checkpointed_and_cleared, portions
 from foliolens.llm.hamming import neighbour_counts
 from foliolens.llm.near_dedup import majority
 
@@ -103,7 +104,7 @@ def with_successors(docs: DataFrame) -> DataFrame:
     """The columns of ROW for every row of docs(doc_id, text)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
-    walked = checkpointed(dealt.select("doc_id", "text").mapInArrow(_walk, SCHEMA))
+    walked = checkpointed_and_cleared(dealt.select("doc_id", "text").mapInArrow(_walk, SCHEMA))
     ends = walked.where("tail is not null")
     order = ends.select("range").withColumn("next", F.lead("range").over(Window.orderBy("range")))  # one number for each range
     order = order.withColumn("next", F.coalesce("next", F.min("range").over(Window.partitionBy())))

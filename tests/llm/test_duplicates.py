@@ -1,5 +1,8 @@
+import contextlib
 import hashlib
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -147,6 +150,30 @@ def test_document_fingerprints(docs, empty, corpus, spark):
     assert alone["near_next"] == 1 and alone["n_near"] == 0
 
 
+def test_document_fingerprints_leave_no_texts_on_disk(spark, monkeypatch):
+    """The files that whole texts were exchanged through go without the help of the garbage collector, which spares what is held."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def shuffled():
+        out = {}
+        for f in (f for d in folders for f in Path(d.getPath()).glob("*/shuffle_*.data")):
+            with contextlib.suppress(FileNotFoundError):
+                out[f] = f.stat().st_size
+        return out
+
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 200), x -> sha2(concat(id, ' ', x), 256))) AS text")
+    held, checkpoint = [], type(docs).checkpoint
+    monkeypatch.setattr(type(docs), "checkpoint", lambda df, eager=True: checkpoint(held.append(df) or df, eager))
+    before, most = shuffled(), 300 * 200 * 64 // 10
+    report = P.fingerprint_report(docs)
+    for _ in range(20):  # files are removed in the background
+        if (left := sum(n for f, n in shuffled().items() if f not in before)) < most:
+            break
+        time.sleep(0.2)
+    assert held and left < most
+    assert len(report.collect()) == len(report.collect()) == 300
+
+
 def brute_removal(corpus):
     first = {}
     for d, t in sorted(((r[0], (r[1] or "").encode()) for r in corpus if r[0] is not None)):
